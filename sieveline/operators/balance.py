@@ -99,7 +99,7 @@ def load_plan(df: DataFrame, keys: list[str], n_tasks: int, summary: int = SUMMA
             p = pd.concat(rows).sort_values("load", ascending=False, kind="stable")
             yield p[names].assign(tasks=pack(p["load"].tolist(), int(p["total"].iloc[0]), n_tasks))
 
-    return large.coalesce(1).mapInPandas(run, schema)
+    return large.repartition(1).mapInPandas(run, schema)
 
 
 def _on_plan(df: DataFrame, keys: list[str], plan: DataFrame) -> DataFrame:
