@@ -56,11 +56,11 @@ def epoch_seconds(c: Column) -> Column:
     session's time zone plays no part.
     """
     v = _trim(c)
-    stamp = r"^(\d{4})[.\-](\d{1,2})[.\-](\d{1,2})[ T](\d{1,2}):(\d{2}):(\d{2})"
-    part = lambda k: F.regexp_extract(v, stamp, k)
-    day = F.unix_date(F.concat_ws("-", part(1), part(2), part(3)).try_cast("date"))
-    h, m, s = (part(k).try_cast("int") for k in (4, 5, 6))
-    fits = (h <= 23) & (m <= 59) & (s <= 60)
+    stamp = r"^\d{4}[.\-]\d{1,2}[.\-]\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(?:$|\D)"
+    parts = F.split(F.translate(v, "-T: Z", "...."), r"\.")
+    day = F.unix_date(F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))).try_cast("date"))
+    h, m, s = (F.get(parts, F.lit(k)).try_cast("int") for k in (3, 4, 5))
+    fits = v.rlike(stamp) & (h <= 23) & (m <= 59) & (s <= 60)
     dated = F.when(fits, day.cast("long") * 86400 + h * 3600 + m * 60 + s)
     epoch = F.regexp_extract(v, r"^(\d{1,12})(?:\.\d*)?$", 1).try_cast("long")
     return F.coalesce(dated, epoch)

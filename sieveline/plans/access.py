@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import logfields as L
@@ -29,8 +29,11 @@ _WHEN = f"""CASE WHEN regexp_matches({_TRIM('when_txt')}, '^\\d+(\\.\\d*)?$') TH
  ELSE CAST(epoch(try_strptime(replace(replace(regexp_extract({_TRIM('when_txt')}, '^\\d{{4}}[-.]\\d+[-.]\\d+[ T]\\d+:\\d+:\\d+'), '-', '.'), 'T', ' '), '%Y.%m.%d %H:%M:%S')) AS BIGINT) END"""
 
 
-def log_once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of access_log with each log_id once, however often it was delivered."""
+def log_once(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """Columns of access_log with each log_id once, however often it was delivered.
+
+    Expressions are evaluated before the shuffle, once a row, and only their results are shuffled.
+    """
     df = table(spark, sf_dir, "access_log").select("log_id", *columns)
     return once_per_id(df, "log_id")
 
@@ -121,10 +124,9 @@ def p4_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of the log's actors: users, or addresses where no user is known."""
-    once = log_once(spark, sf_dir, "user_name", "ip", "when_txt")
     user, ip = L.user_key(F.col("user_name")), L.ip_key(F.col("ip"))
     actor = F.coalesce(F.concat(F.lit("user:"), user), F.concat(F.lit("ip:"), ip))
-    events = once.select(actor.alias("actor"), L.epoch_seconds(F.col("when_txt")).alias("s"))
+    events = log_once(spark, sf_dir, actor.alias("actor"), L.epoch_seconds(F.col("when_txt")).alias("s"))
     return sessions(events, "actor", "s", gap_s=1800)
 
 
