@@ -42,17 +42,16 @@ def p1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial distinct sets of each log day, filter group and field."""
-    once = log_once(spark, sf_dir, "user_name", "ip", "category", "filter_group", "when_txt")
     seconds = L.epoch_seconds(F.col("when_txt"))
-    cell = [L.log_day(seconds).alias("log_day"), F.col("filter_group").cast("int").alias("filter_group")]
-    once = once.filter(seconds.isNotNull())
-    packed = once.filter(L.has_value(F.col("category"))).select(*cell, "category")
-    names = F.array(
-        F.struct(F.lit("user_name").alias("field"), L.user_key(F.col("user_name")).alias("val")),
-        F.struct(F.lit("ip").alias("field"), L.ip_key(F.col("ip")).alias("val")),
-    )
-    single = once.select(*cell, F.explode(names).alias("f")).select("log_day", "filter_group", "f.field", "f.val")
-    several = split_packed(packed, "category", ["log_day", "filter_group"], LOGGED).select("log_day", "filter_group", F.lit("category").alias("field"), "val")
+    category = F.when(L.has_value(F.col("category")), F.col("category"))
+    once = log_once(
+        spark, sf_dir, L.log_day(seconds).alias("log_day"), F.col("filter_group").cast("int").alias("filter_group"),
+        L.user_key(F.col("user_name")).alias("user_name"), L.ip_key(F.col("ip")).alias("ip"), category.alias("category"),
+    ).filter("log_day IS NOT NULL")
+    names = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("val")) for c in ("user_name", "ip")])
+    cell = ["log_day", "filter_group"]
+    single = once.select(*cell, F.explode(names).alias("f")).select(*cell, "f.field", "f.val")
+    several = split_packed(once, "category", cell, LOGGED).select(*cell, F.lit("category").alias("field"), "val")
     return hash_runs(single.unionByName(several), ["log_day", "filter_group", "field"], F.col("val"))
 
 
