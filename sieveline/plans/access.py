@@ -66,11 +66,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests and bytes of every site and every address of the log, by balanced fragments."""
-    once = log_once(spark, sf_dir, "url", "ip", "size")
-    pairs = F.array(
-        F.struct(F.lit("url").alias("field"), L.site_key(F.col("url")).alias("item")),
-        F.struct(F.lit("ip").alias("field"), L.ip_key(F.col("ip")).alias("item")),
-    )
+    once = log_once(spark, sf_dir, L.site_key(F.col("url")).alias("url"), L.ip_key(F.col("ip")).alias("ip"), "size")
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("item")) for c in ("url", "ip")])
     rows = once.select("log_id", "size", F.explode(pairs).alias("p")).select("p.field", "p.item", "log_id", "size").filter("item IS NOT NULL")
     return balanced_aggregate(
         rows,
@@ -116,7 +113,7 @@ def p4_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A user of contradicting groups has the lowest; one without any has group 0.
     """
-    log = log_once(spark, sf_dir, "user_name", "size").select("log_id", L.user_key(F.col("user_name")).alias("u"), "size").filter("u IS NOT NULL")
+    log = log_once(spark, sf_dir, L.user_key(F.col("user_name")).alias("u"), "size").filter("u IS NOT NULL")
     groups = table(spark, sf_dir, "user_group").groupBy(L.user_key(F.col("user_name")).alias("u")).agg(F.min("grp").alias("grp")).filter("u IS NOT NULL")
     joined = balanced_join(log, groups, ["u"], "left", spread=["log_id"])
     return joined.groupBy(F.coalesce("grp", F.lit(0)).alias("grp")).agg(F.count(F.lit(1)).alias("n_requests"), F.sum("size").alias("n_bytes"))
