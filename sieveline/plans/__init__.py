@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def query_sets():
-    from sieveline.plans import access
+    from sieveline.plans import access, content
 
-    return [access.Q]
+    return [access.Q, content.Q]
