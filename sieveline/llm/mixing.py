@@ -23,20 +23,21 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     weight, max_copies). The target is size_ratio x tokens of all documents x weight / sum of the mix's
     weights; null or negative weights count as 0, a mix whose weights sum to 0 has targets of 0; a null
     max_copies means no cap. rate: copies of each document that meet the target, at most max_copies. is_short:
-    even max_copies of each text hold fewer tokens than the target. A source without documents has 0 tokens.
+    even max_copies of each text hold fewer tokens than the target. A source without documents has 0 tokens;
+    targets without source are left out.
     Repeated (mix, source) targets are summed, with the largest of their max_copies.
     """
-    each = sizes.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
+    # "" stands for no source: with nulls the two uses below would be filtered differently, and texts counted twice
+    each = sizes.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("n_tokens").alias("source_tokens"))
     total = F.coalesce(each.agg(F.sum("source_tokens")).scalar(), F.lit(0))
     weight = F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0))
-    wanted = targets.select("mix_name", "size_ratio", source_key(F.col("source")).alias("source"), weight.alias("weight"), "max_copies")
+    wanted = targets.select("mix_name", "size_ratio", source_key(F.col("source")).alias("source"), weight.alias("weight"), "max_copies").filter("source IS NOT NULL")
     mixes = wanted.groupBy("mix_name").agg(F.sum("weight").alias("mix_weight"))
     wanted = wanted.groupBy("mix_name", "size_ratio", "source").agg(F.sum("weight").alias("weight"), F.max("max_copies").alias("max_copies"))
-    named = each.filter("source IS NOT NULL")
     tokens, target, most = F.col("source_tokens"), F.col("target_tokens"), F.col("max_copies").cast("double")
     return (
         wanted.join(mixes, "mix_name")
-        .join(named, "source", "left")
+        .join(each, "source", "left")
         .withColumn("source_tokens", F.coalesce(tokens, F.lit(0)))
         .withColumn("target_tokens", F.coalesce(F.try_divide(F.col("size_ratio") * F.col("weight"), F.col("mix_weight")), F.lit(0.0)) * total)
         .withColumn("is_short", F.coalesce(tokens * most < target, tokens == 0) & (target > 0))
