@@ -68,22 +68,6 @@ def host_suffixes(host: Column) -> Column:
     return F.when(host.isNotNull() & (host != ""), F.transform(suffix, lambda s: F.when(s.contains(".") | (n == 1), s).otherwise(F.concat(F.lit("."), s))))
 
 
-def url_prefixes(key: Column) -> Column:
-    """Texts an item of a url list can equal: for the host and each parent domain, the key cut at / ? & = and whole.
-
-    A bare host has none, since url lists hold parts of sites.
-    """
-    host = F.regexp_extract(key, "^([^/?]*)", 1)
-    rest = F.substring(key, F.length(host) + 1, 1 << 30)
-    pieces = F.regexp_extract_all(rest, F.lit("[/?&=][^/?&=]*"), F.lit(0))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda k: F.array_join(F.slice(pieces, 1, k), ""))
-    plain = F.filter(F.split(host, r"\."), lambda x: x.isNotNull())
-    n = F.size(plain)
-    hosts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(plain, k, n), "."))
-    both = F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda c: F.concat(h, c))))
-    return F.when(rest == "", F.array().cast("array<string>")).otherwise(F.array_distinct(both))
-
-
 def is_ip_host(host: Column) -> Column:
     """No letter and no "|" in it."""
     return ~host.rlike("[a-zA-Z|]")

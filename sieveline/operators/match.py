@@ -38,14 +38,38 @@ def exact_hits(facts: DataFrame, ids: list[str], value: Column, rules: DataFrame
     return _first(keyed.join(_rules(rules, "item"), "item"), ids, ["item"], ["item", "category"])
 
 
-def _hits_on_keys(facts: DataFrame, ids: list[str], keys: Column, rules: DataFrame) -> DataFrame:
-    keyed = facts.select(*ids, F.posexplode(keys).alias("pos", "item"))
-    return _first(keyed.join(_rules(rules, "item"), "item"), ids, ["pos", "item"], ["item", "category"])
+def _hits_on_keys(keyed: DataFrame, ids: list[str], rules: DataFrame) -> DataFrame:
+    # outer: else the optimizer would test the arrays before the explode, working their texts out once more
+    exploded = keyed.select(*ids, F.posexplode_outer("__keys").alias("pos", "item"))
+    return _first(exploded.join(_rules(rules, "item"), "item"), ids, ["pos", "item"], ["item", "category"])
+
+
+def site_keys(facts: DataFrame, ids: list[str], host: Column) -> DataFrame:
+    """(ids, __keys): the texts that an item of a site list can equal, nearest first."""
+    return facts.select(*ids, host.alias("__host")).select(*ids, U.host_suffixes(F.col("__host")).alias("__keys"))
+
+
+def url_keys(facts: DataFrame, ids: list[str], key: Column) -> DataFrame:
+    """(ids, __keys): the texts that an item of a url list can equal, nearest first.
+
+    For the host and each parent domain, the key cut at / ? & = and whole; a bare host has none, since url
+    lists hold parts of sites. Built step by step, so that no step's text is worked out again in the next.
+    """
+    cut = facts.select(*ids, key.alias("__key")).select(*ids, F.regexp_extract("__key", "^([^/?]*)", 1).alias("__host"), F.regexp_extract("__key", "^[^/?]*(.*)$", 1).alias("__rest"))
+    parts = cut.filter("__rest <> ''").select(*ids, F.split("__host", r"\.").alias("__labels"), F.regexp_extract_all("__rest", F.lit("[/?&=][^/?&=]*"), F.lit(0)).alias("__pieces"))
+    labels, pieces = F.col("__labels"), F.col("__pieces")
+    both = parts.select(
+        *ids,
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")).alias("__hosts"),
+        F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.array_join(F.slice(pieces, 1, k), "")).alias("__cuts"),
+    )
+    cuts = F.col("__cuts")
+    return both.select(*ids, F.flatten(F.transform("__hosts", lambda h: F.transform(cuts, lambda c: F.concat(h, c)))).alias("__keys"))
 
 
 def site_hits(facts: DataFrame, ids: list[str], host: Column, rules: DataFrame) -> DataFrame:
     """(ids, item, category): the longest suffix of the host that is an item; ".tld" items hold for all of a top level."""
-    return _hits_on_keys(facts, ids, U.host_suffixes(host), rules)
+    return _hits_on_keys(site_keys(facts, ids, host), ids, rules)
 
 
 def url_hits(facts: DataFrame, ids: list[str], key: Column, rules: DataFrame) -> DataFrame:
@@ -53,7 +77,7 @@ def url_hits(facts: DataFrame, ids: list[str], key: Column, rules: DataFrame) ->
 
     The nearest domain's shortest item comes first.
     """
-    return _hits_on_keys(facts, ids, U.url_prefixes(key), rules)
+    return _hits_on_keys(url_keys(facts, ids, key), ids, rules)
 
 
 def extension_hits(facts: DataFrame, ids: list[str], name: Column, rules: DataFrame) -> DataFrame:
@@ -61,7 +85,7 @@ def extension_hits(facts: DataFrame, ids: list[str], name: Column, rules: DataFr
     parts = F.split(F.regexp_extract(F.lower(name), r"([^/]*)$", 1), r"\.")
     n = F.size(parts)
     ends = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k, n), "."))))
-    return _hits_on_keys(facts, ids, ends, rules)
+    return _hits_on_keys(facts.select(*ids, ends.alias("__keys")), ids, rules)
 
 
 def first_regex(value: Column, rules: list[Regex], ts: Column | None = None) -> Column:
@@ -83,8 +107,12 @@ def first_header_regex(headers: Column, rules: list[Regex]) -> Column:
     """Place of the first pattern that is found in any header line."""
     from sieveline.functions.text import java_pattern
 
-    line = lambda h: F.concat_ws(": ", h["name"], h["value"])
-    found = [F.when(F.exists(headers, lambda h, p="(?is)" + java_pattern(r.pattern): line(h).rlike(p)), F.lit(r.ord)) for r in sorted(rules, key=lambda r: r.ord)]
+    lines = F.transform(headers, lambda h: F.concat_ws(": ", h["name"], h["value"]))
+
+    def holds(pattern: str) -> Column:
+        return F.exists(lines, lambda x: x.rlike("(?is)" + java_pattern(pattern)))
+
+    found = [F.when(holds(r.pattern), F.lit(r.ord)) for r in sorted(rules, key=lambda r: r.ord)]
     return F.coalesce(*found, F.lit(None).cast("int"))
 
 

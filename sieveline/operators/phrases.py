@@ -21,7 +21,8 @@ OUTCOMES = ("combination exception", "exception", "banned combination", "banned"
 
 def _builtin_hits(df: DataFrame, keys: list[str], text: str, needles: list[str]) -> DataFrame:
     counts = F.array(*[F.struct(F.lit(p).alias("phrase"), X.overlapping_count(F.col(text), p).cast("long").alias("n")) for p in needles])
-    return df.select(*keys, F.inline(F.filter(counts, lambda h: h["n"] > 0)))
+    # outer: else the optimizer would count once more, to test for hits before they are put in rows
+    return df.select(*keys, F.inline_outer(F.filter(counts, lambda h: h["n"] > 0))).filter("phrase IS NOT NULL")
 
 
 def _automaton_hits(df: DataFrame, keys: list[str], text: str, needles: list[str]) -> DataFrame:

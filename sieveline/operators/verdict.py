@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import logfields as L
 from sieveline.functions import url as U
-from sieveline.operators.match import extension_hits, first_regex, ip_hits
+from sieveline.operators.match import extension_hits, first_regex, ip_hits, site_keys, url_keys
 from sieveline.sources.lists import Regex
 
 #: Reason codes, as the message catalogue numbers them. Fixed values.
@@ -20,10 +20,10 @@ CODES = {
 }
 
 
-def hits_by_list(facts: DataFrame, ids: list[str], keys: Column, rules: DataFrame) -> DataFrame:
-    """(ids, list_name, item, category): the first key of each fact that is an item, for each list at once."""
+def hits_by_list(keyed: DataFrame, ids: list[str], rules: DataFrame) -> DataFrame:
+    """(ids, list_name, item, category): the first of the __keys of each fact that is an item, for each list at once."""
     named = rules.groupBy("list_name", F.lower(F.trim("item")).alias("item")).agg(F.min("category").alias("category"))
-    keyed = facts.select(*ids, F.posexplode(keys).alias("pos", "item"))
+    keyed = keyed.select(*ids, F.posexplode_outer("__keys").alias("pos", "item"))
     best = F.min(F.struct("pos", "item", "category")).alias("b")
     return keyed.join(named, "item").groupBy(*ids, "list_name").agg(best).select(*ids, "list_name", "b.item", "b.category")
 
@@ -53,8 +53,8 @@ def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: Da
     site_items, url_items = items.filter("list_name LIKE '%site'"), items.filter("list_name LIKE '%url'")
     looked = requests.select(id_col, F.col("ip"), F.col("client_host"), key.alias("__key"), L.site_key(F.col("url")).alias("__host"))
     found = [
-        hits_by_list(looked, [id_col], U.host_suffixes(F.col("__host")), site_items),
-        hits_by_list(looked, [id_col], U.url_prefixes(F.col("__key")), url_items),
+        hits_by_list(site_keys(looked, [id_col], F.col("__host")), [id_col], site_items),
+        hits_by_list(url_keys(looked, [id_col], F.col("__key")), [id_col], url_items),
         address_hits(looked, [id_col], U.ip_number(L.ip_key(F.col("ip"))), F.col("client_host"), ips.filter("list_name IN ('bannedip', 'exceptionip', 'rooms')")),
     ]
     hits = reduce(DataFrame.unionByName, found)
@@ -104,8 +104,8 @@ def download_verdicts(responses: DataFrame, id_col: str, items: DataFrame, block
     lists = lambda n: items.filter(F.col("list_name") == n)
     mark = lambda df, n: df.select(id_col, F.lit(n).alias("list_name"), "item")
     found = [
-        hits_by_list(looked, [id_col], F.array("__type"), items.filter("list_name IN ('bannedmimetype', 'exceptionmimetype')")).select(id_col, "list_name", "item"),
-        mark(hits_by_list(looked, [id_col], U.host_suffixes(F.col("__host")), lists("exceptionfilesite")), "exceptionfilesite"),
+        hits_by_list(looked.select(id_col, F.array("__type").alias("__keys")), [id_col], items.filter("list_name IN ('bannedmimetype', 'exceptionmimetype')")).select(id_col, "list_name", "item"),
+        mark(hits_by_list(site_keys(looked, [id_col], F.col("__host")), [id_col], lists("exceptionfilesite")), "exceptionfilesite"),
         mark(extension_hits(looked, [id_col], F.col("__name"), lists("bannedextension")), "bannedextension"),
         mark(extension_hits(looked, [id_col], F.col("__name"), lists("exceptionextension")), "exceptionextension"),
     ]

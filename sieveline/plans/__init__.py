@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def query_sets():
-    from sieveline.plans import access, content
+    from sieveline.plans import access, content, urls
 
-    return [access.Q, content.Q]
+    return [access.Q, content.Q, urls.Q]
