@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions import text as X
 
@@ -15,13 +16,14 @@ READABLE = ("identity", "gzip", "deflate", "pack200-gzip")
 
 
 def header_lines(block: Column) -> Column:
-    """A header block as ARRAY<STRUCT<name, value>>; order and repeats are kept, lines without ":" have a null name."""
+    """A header block as ARRAY<STRUCT<name, value>>; order and repeats are kept, a request line has a null name."""
     rows = F.filter(F.split(F.replace(block, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x != "")
+    named = lambda x: x.rlike(r"^[^\s:]+:")
     return F.transform(
         rows,
         lambda x: F.struct(
-            F.when(x.contains(":"), F.trim(F.substring_index(x, ":", 1))).alias("name"),
-            F.when(x.contains(":"), F.trim(X.after(x, ":"))).otherwise(x).alias("value"),
+            F.when(named(x), F.substring_index(x, ":", 1)).alias("name"),
+            F.when(named(x), F.trim(X.after(x, ":"))).otherwise(x).alias("value"),
         ),
     )
 
@@ -134,7 +136,7 @@ def form_values(body: Column) -> Column:
     return X.percent_decode(F.translate(joined, "+", " "))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
     """Bodies of gzip, zlib and raw deflate encoding in plain; others as they are, null where they are broken."""
 
