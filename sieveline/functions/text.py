@@ -166,8 +166,12 @@ def overlapping_count(text: Column, phrase: str) -> Column:
     """Occurrences of a phrase, overlapping ones too; 0 for an empty phrase."""
     if not phrase:
         return F.lit(0)
-    quoted = "(?=\\Q" + phrase.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
-    return F.when(text.contains(phrase), F.regexp_count(text, F.lit(quoted))).otherwise(F.when(text.isNotNull(), F.lit(0)))
+    if any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase))):
+        quoted = "(?=\\Q" + phrase.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
+        n = F.regexp_count(text, F.lit(quoted))
+    else:  # no end of it is its beginning, so occurrences can't overlap, and leaving them out counts them
+        n = ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    return F.when(text.contains(phrase), n).otherwise(F.when(text.isNotNull(), F.lit(0)))
 
 
 def java_replacement(replacement: str) -> str:

@@ -56,12 +56,12 @@ def url_keys(facts: DataFrame, ids: list[str], key: Column) -> DataFrame:
     lists hold parts of sites. Built step by step, so that no step's text is worked out again in the next.
     """
     cut = facts.select(*ids, key.alias("__key")).select(*ids, F.regexp_extract("__key", "^([^/?]*)", 1).alias("__host"), F.regexp_extract("__key", "^[^/?]*(.*)$", 1).alias("__rest"))
-    parts = cut.filter("__rest <> ''").select(*ids, F.split("__host", r"\.").alias("__labels"), F.regexp_extract_all("__rest", F.lit("[/?&=][^/?&=]*"), F.lit(0)).alias("__pieces"))
+    parts = cut.select(*ids, F.split("__host", r"\.").alias("__labels"), F.regexp_extract_all("__rest", F.lit("[/?&=][^/?&=]*"), F.lit(0)).alias("__pieces"))
     labels, pieces = F.col("__labels"), F.col("__pieces")
     both = parts.select(
         *ids,
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")).alias("__hosts"),
-        F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.array_join(F.slice(pieces, 1, k), "")).alias("__cuts"),
+        F.when(F.size(pieces) > 0, F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.array_join(F.slice(pieces, 1, k), ""))).otherwise(F.array().cast("array<string>")).alias("__cuts"),
     )
     cuts = F.col("__cuts")
     return both.select(*ids, F.flatten(F.transform("__hosts", lambda h: F.transform(cuts, lambda c: F.concat(h, c)))).alias("__keys"))
@@ -120,20 +120,29 @@ def first_header_regex(headers: Column, rules: list[Regex]) -> Column:
 _WIDE = 256
 
 
+def range_keys(rules: DataFrame, take: list[str]) -> DataFrame:
+    """(taken columns, key): a row for each block that a rule's range touches, at most 256 for each rule."""
+    lo, hi = F.col("lo"), F.col("hi")
+    blocks = F.shiftright(hi, 8) - F.shiftright(lo, 8)
+    keys = lambda bits: F.transform(F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits)), lambda b: F.concat(F.lit(f"{bits}:"), b.cast("string")))
+    return rules.filter(lo <= hi).select(*take, F.explode(F.when(blocks < _WIDE, keys(8)).otherwise(keys(24))).alias("key"))
+
+
+def address_keys(n: Column) -> Column:
+    """The keys that an address meets range_keys by."""
+    return F.array(*[F.concat(F.lit(f"{bits}:"), F.shiftright(n, bits).cast("string")) for bits in (8, 24)])
+
+
 def ip_hits(facts: DataFrame, ids: list[str], ip: Column, rules: DataFrame, take: list[str]) -> DataFrame:
     """(ids, the taken columns of each rule) of every rule with lo <= ip <= hi.
 
     A range join as an equi join: each rule is spread over the blocks it touches (at most 256 rows each), each
     address has one key of either width, and the bounds are checked on what meets.
     """
-    lo, hi = F.col("lo"), F.col("hi")
-    blocks = F.shiftright(hi, 8) - F.shiftright(lo, 8)
-    narrow = F.transform(F.sequence(F.shiftright(lo, 8), F.shiftright(hi, 8)), lambda b: F.struct(F.lit(24).alias("w"), b.alias("b")))
-    wide = F.transform(F.sequence(F.shiftright(lo, 24), F.shiftright(hi, 24)), lambda b: F.struct(F.lit(8).alias("w"), b.alias("b")))
-    keyed = rules.filter(lo <= hi).select("lo", "hi", *take, F.explode(F.when(blocks < _WIDE, narrow).otherwise(wide)).alias("key"))
-    n = F.col("__n")
+    lo, hi, n = F.col("lo"), F.col("hi"), F.col("__n")
+    keyed = range_keys(rules, ["lo", "hi", *take])
     own = facts.select(*ids, ip.alias("__n")).filter(n.isNotNull())
-    own = own.withColumn("key", F.explode(F.array(F.struct(F.lit(24).alias("w"), F.shiftright(n, 8).alias("b")), F.struct(F.lit(8).alias("w"), F.shiftright(n, 24).alias("b")))))
+    own = own.withColumn("key", F.explode(address_keys(n)))
     return own.join(keyed, (own["key"] == keyed["key"]) & (n >= lo) & (n <= hi)).select(*ids, *take).distinct()
 
 

@@ -14,7 +14,7 @@ from sieveline.functions import text as X
 from sieveline.sources.lists import BANNED, EXCEPTION, WEIGHTED, PhraseBase
 
 #: Up to so many phrases are searched for by built-in functions, more by an automaton.
-FEW = 24
+FEW = 4
 
 OUTCOMES = ("combination exception", "exception", "banned combination", "banned", "weighted", "clean")
 
@@ -74,22 +74,23 @@ def combi_hits(hits: DataFrame, keys: list[str], base: PhraseBase) -> DataFrame:
     return hits.join(named, "phrase").groupBy(*keys, "combi_id", "n_parts").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).filter("k = n_parts").select(*keys, "combi_id", "n")
 
 
-def contributions(hits: DataFrame, keys: list[str], base: PhraseBase, mode: int = 1) -> DataFrame:
+def contributions(hits: DataFrame, keys: list[str], base: PhraseBase, mode: int = 1, by: list[str] | None = None) -> DataFrame:
     """(keys, label, kind, is_combi, weight, category): what each phrase and combination found adds.
 
-    mode 1 counts every occurrence (a combination its fewest), mode 2 each phrase once.
+    mode 1 counts every occurrence (a combination its fewest), mode 2 each phrase once. A single phrase is a
+    rule of one part, so texts are searched once for both. Hits are shuffled once, by some of the keys (all by
+    default); what is later grouped by these or more columns needs no further shuffle.
     """
     if mode not in (1, 2):
         raise ValueError("mode must be 1 or 2")
+    singles = [((p.parts[0],), p, p.parts[0]) for p in base.single()]
+    combis = [(tuple(sorted(set(p.parts))), p, "(" + ", ".join(p.parts) + ")") for p in base.combined()]
+    rules = [(i, part, len(parts), label, p.kind, len(p.parts) > 1, p.weight, p.category) for i, (parts, p, label) in enumerate(singles + combis) for part in parts]
+    named = _literals(hits, rules, "rule int, phrase string, n_parts int, label string, kind int, is_combi boolean, w int, category string")
+    rule = ["rule", "n_parts", "label", "kind", "is_combi", "w", "category"]
+    each = hits.repartition(*(by or keys)).join(named, "phrase").groupBy(*keys, *rule).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
     times = F.col("n") if mode == 1 else F.lit(1).cast("long")
-    single = _literals(hits, [(p.parts[0], p.kind, p.weight, p.category) for p in base.single()], "phrase string, kind int, w int, category string")
-    a = hits.join(single, "phrase").select(*keys, F.col("phrase").alias("label"), "kind", F.lit(False).alias("is_combi"), (F.col("w") * times).alias("weight"), "category")
-    if not base.combined():
-        return a
-    rows = [(i, "(" + ", ".join(p.parts) + ")", p.kind, p.weight, p.category) for i, p in enumerate(base.combined())]
-    named = _literals(hits, rows, "combi_id int, label string, kind int, w int, category string")
-    b = combi_hits(hits, keys, base).join(named, "combi_id").select(*keys, "label", "kind", F.lit(True).alias("is_combi"), (F.col("w") * times).alias("weight"), "category")
-    return a.unionByName(b)
+    return each.filter("k = n_parts").select(*keys, "label", "kind", "is_combi", (F.col("w") * times).alias("weight"), "category")
 
 
 def category_scores(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,10 +109,15 @@ def category_text(scores: DataFrame, keys: list[str], threshold: int = 0) -> Dat
 
     threshold above 0 leaves out lower scores, below 0 keeps the first only, 0 all.
     """
-    kept = scores.filter(F.col("score") >= threshold) if threshold > 0 else scores
-    each = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("category").alias("c"))))
-    names = F.transform(each, lambda x: x["c"])
-    return kept.groupBy(*keys).agg((F.get(names, F.lit(0)) if threshold < 0 else F.array_join(names, ", ")).alias("categories"))
+    each = F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("category").alias("c")))
+    return scores.groupBy(*keys).agg(_names(each, threshold).alias("categories")).filter("categories <> ''")
+
+
+def _names(scored: Column, threshold: int) -> Column:
+    """Categories from an array of (minus score, category)."""
+    kept = F.filter(scored, lambda x: -x["s"] >= threshold) if threshold > 0 else scored
+    names = F.transform(F.array_sort(kept), lambda x: x["c"])
+    return F.coalesce(F.get(names, F.lit(0)), F.lit("")) if threshold < 0 else F.array_join(names, ", ")
 
 
 def merged_score(scores: Column) -> Column:
@@ -129,18 +135,18 @@ def verdicts(found: DataFrame, keys: list[str], limit: int, threshold: int = 0)
     kind, combi = F.col("kind"), F.col("is_combi")
     last = lambda k, c: F.max(F.when((kind == k) & (combi == F.lit(c)), F.col("label")))
     weighted = F.when(kind == WEIGHTED, F.struct(combi, F.when(F.col("weight") < 0, F.concat(F.lit("-"), F.col("label"))).otherwise(F.col("label")).alias("l")))
+    named = F.when((kind == WEIGHTED) & (F.col("weight") > 0) & F.col("category").isNotNull(), F.struct(F.col("category").alias("c"), F.col("weight").alias("w")))
     each = found.groupBy(*keys).agg(
         last(EXCEPTION, True).alias("ce"), last(EXCEPTION, False).alias("e"), last(BANNED, True).alias("cb"), last(BANNED, False).alias("b"),
         F.coalesce(F.sum(F.when(kind == WEIGHTED, F.col("weight"))), F.lit(0).cast("long")).alias("score"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(weighted)), lambda x: x["l"]), "+").alias("w"),
-        F.max(F.when((kind == BANNED), F.struct(~combi, F.col("label"), F.col("category")))).alias("bc"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(weighted)), lambda x: x["l"]), "+").alias("w"), F.collect_list(named).alias("named"),
     )
-    over = F.col("score") > limit
+    over, named = F.col("score") > limit, F.col("named")
     outcome = F.when(F.col("ce").isNotNull(), OUTCOMES[0]).when(F.col("e").isNotNull(), OUTCOMES[1]).when(F.col("cb").isNotNull(), OUTCOMES[2]).when(F.col("b").isNotNull(), OUTCOMES[3]).when(over, OUTCOMES[4]).otherwise(OUTCOMES[5])
     reason = F.coalesce("ce", "e", "cb", "b", F.when(over, F.concat(F.lit(f"{limit} : "), F.col("score").cast("string"), F.lit(" ("), F.col("w"), F.lit(")"))), F.lit(""))
-    text = category_text(category_scores(found, keys), keys, threshold)
-    out = each.select(*keys, "score", outcome.alias("outcome"), reason.alias("reason")).join(text, keys, "left")
-    return out.withColumn("categories", F.coalesce("categories", F.lit("")))
+    total = lambda c: F.aggregate(F.filter(named, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda a, x: a - x["w"])
+    scored = F.transform(F.array_distinct(F.transform(named, lambda x: x["c"])), lambda c: F.struct(total(c).alias("s"), c.alias("c")))
+    return each.select(*keys, "score", outcome.alias("outcome"), reason.alias("reason"), _names(scored, threshold).alias("categories"))
 
 
 def score_texts(df: DataFrame, id_col: str, text: str, base: PhraseBase, limit: int, mode: int = 1, filter_mode: int = 2, preserve_case: int = 0, threshold: int = 0) -> DataFrame:
@@ -150,7 +156,7 @@ def score_texts(df: DataFrame, id_col: str, text: str, base: PhraseBase, limit:
     clean with score 0. Null texts are clean.
     """
     parts = df.select(id_col, F.inline(X.passes(F.col(text), filter_mode, preserve_case)))
-    found = contributions(phrase_hits(parts, [id_col, "pass"], "text", base.needles()), [id_col, "pass"], base, mode)
+    found = contributions(phrase_hits(parts, [id_col, "pass"], "text", base.needles()), [id_col, "pass"], base, mode, by=[id_col])
     each = verdicts(found, [id_col, "pass"], limit, threshold)
     rank = F.array_position(F.array(*[F.lit(x) for x in OUTCOMES]), F.col("outcome"))
     best = each.groupBy(id_col).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import logfields as L
 from sieveline.functions import url as U
-from sieveline.operators.match import extension_hits, first_regex, ip_hits, site_keys, url_keys
+from sieveline.operators.match import address_keys, extension_hits, first_regex, range_keys, site_keys, url_keys
 from sieveline.sources.lists import Regex
 
 #: Reason codes, as the message catalogue numbers them. Fixed values.
@@ -28,14 +28,6 @@ def hits_by_list(keyed: DataFrame, ids: list[str], rules: DataFrame) -> DataFram
     return keyed.join(named, "item").groupBy(*ids, "list_name").agg(best).select(*ids, "list_name", "b.item", "b.category")
 
 
-def address_hits(facts: DataFrame, ids: list[str], ip: Column, host: Column, rules: DataFrame) -> DataFrame:
-    """(ids, list_name, item, category) of the address lists, for each list at once; the room is the category."""
-    by_ip = ip_hits(facts, ids, ip, rules.filter("kind <> 'host'"), ["list_name", "room"])
-    hosts = rules.filter("kind = 'host'").select(F.lower("host").alias("h"), "list_name", "room").distinct()
-    by_host = facts.select(*ids, F.lower(host).alias("h")).join(hosts, "h").select(*ids, "list_name", "room")
-    return by_ip.unionByName(by_host).groupBy(*ids, "list_name").agg(F.min("room").alias("category")).select(*ids, "list_name", F.lit("").alias("item"), "category")
-
-
 def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: DataFrame, banned_regexes: list[Regex] = (), exception_regexes: list[Regex] = (), regex_over_grey: bool = False, group_mode: Column | None = None) -> DataFrame:
     """(id, verdict, code, item, category, room) of every request.
 
@@ -47,26 +39,38 @@ def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: Da
     regex_over_grey expressions come before the grey lists and hold in spite of them. verdict is "exception",
     "banned" or "clean". Requests must have an id of their own; each comes out once.
 
-    All site lists are looked up in one pass, so are all url lists; only hits are shuffled besides the requests.
+    The requests are read once: each makes the keys by which sites, urls, addresses and hosts are looked up and
+    a key that meets nothing, all in one join with all rules; what is left of it, a row for each hit and one
+    for each request, is partially aggregated and shuffled once.
     """
-    key = U.list_key(F.col("url"))
-    site_items, url_items = items.filter("list_name LIKE '%site'"), items.filter("list_name LIKE '%url'")
-    looked = requests.select(id_col, F.col("ip"), F.col("client_host"), key.alias("__key"), L.site_key(F.col("url")).alias("__host"))
-    found = [
-        hits_by_list(site_keys(looked, [id_col], F.col("__host")), [id_col], site_items),
-        hits_by_list(url_keys(looked, [id_col], F.col("__key")), [id_col], url_items),
-        address_hits(looked, [id_col], U.ip_number(L.ip_key(F.col("ip"))), F.col("client_host"), ips.filter("list_name IN ('bannedip', 'exceptionip', 'rooms')")),
-    ]
-    hits = reduce(DataFrame.unionByName, found)
-    one = lambda name: F.min(F.when(F.col("list_name") == name, F.struct("item", "category"))).alias(name)
     names = ["bannedsite", "bannedurl", "greysite", "greyurl", "exceptionsite", "exceptionurl", "bannedip", "exceptionip", "rooms"]
-    wide = hits.groupBy(id_col).agg(*[one(n) for n in names])
+    none = F.lit(None).cast("string")
+    tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
     mode = F.lit(1) if group_mode is None else group_mode
-    facts = requests.select(id_col, first_regex(key, list(banned_regexes)).alias("__br"), first_regex(key, list(exception_regexes)).alias("__er"), mode.alias("__mode")).join(wide, id_col, "left")
+    looked = requests.select(id_col, F.lower("client_host").alias("__client"), U.ip_number(L.ip_key(F.col("ip"))).alias("__n"), L.site_key(F.col("url")).alias("__site"), U.list_key(F.col("url")).alias("__look"), mode.alias("__mode"))
+    looked = looked.withColumns({"__br": first_regex(F.col("__look"), list(banned_regexes)), "__er": first_regex(F.col("__look"), list(exception_regexes))})
+    kept = [id_col, "__n", "__mode", "__br", "__er"]
+    sited = looked.select(*kept, "__client", "__look", U.host_suffixes(F.col("__site")).alias("__sites"))
+    keyed = url_keys(sited, [*kept, "__client", "__sites"], F.col("__look"))
+    keys = [tagged("s:", F.col("__sites")), tagged("u:", F.col("__keys")), tagged("n:", address_keys(F.col("__n"))), F.array(F.concat(F.lit("h:"), "__client")), F.array(F.concat(F.lit("-:"), F.col(id_col).cast("string")))]
+    empty = F.array().cast("array<string>")
+    facts = keyed.select(*kept, F.posexplode_outer(F.concat(*[F.coalesce(k, empty) for k in keys])).alias("__pos", "__k"))
+    listed = items.filter(F.col("list_name").isin(*names)).groupBy("list_name", F.lower(F.trim("item")).alias("item")).agg(F.min("category").alias("category"))
+    kind = F.when(F.col("list_name").endswith("site"), "s:").otherwise("u:")
+    no_range = [F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")]
+    addresses = ips.filter("list_name IN ('bannedip', 'exceptionip', 'rooms')")
+    ranges = range_keys(addresses.filter("kind <> 'host'"), ["list_name", "room", "lo", "hi"])
+    rules = (
+        listed.select("list_name", "item", "category", F.concat(kind, "item").alias("__k"), *no_range)
+        .unionByName(ranges.select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("n:"), "key").alias("__k"), "lo", "hi"))
+        .unionByName(addresses.filter("kind = 'host'").select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("h:"), F.lower("host")).alias("__k"), *no_range))
+    )
+    met = facts.join(rules, "__k", "left").filter(F.col("__k").startswith("-:") | (F.col("list_name").isNotNull() & (F.col("lo").isNull() | F.col("__n").between(F.col("lo"), F.col("hi")))))
+    one = lambda name: F.min(F.when(F.col("list_name") == name, F.struct("__pos", "item", "category"))).alias(name)
+    facts = met.groupBy(id_col).agg(F.max("__mode").alias("__mode"), F.max("__br").alias("__br"), F.max("__er").alias("__er"), *[one(n) for n in names])
     c = lambda n: F.col(n).isNotNull()
     grey = c("greysite") | c("greyurl")
-    regex_category = F.coalesce(*[F.when(F.col("__br") == r.ord, F.lit(r.category)) for r in banned_regexes], F.lit(None).cast("string"))
-    none = F.lit(None).cast("string")
+    regex_category = F.coalesce(*[F.when(F.col("__br") == r.ord, F.lit(r.category)) for r in banned_regexes], none)
     chain: list[tuple[Column, str, Column, Column]] = [
         (F.col("__mode") == 2, "exception user", none, none),
         (c("exceptionip"), "exception client", none, none),
