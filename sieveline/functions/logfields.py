@@ -14,13 +14,13 @@ WHITE = "".join(
 )
 
 
-def _trim(c: Column) -> Column:
+def trim_white(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
 def has_value(c: Column) -> Column:
     """False for null, blank and "-"; never null."""
-    return F.coalesce(~_trim(c).isin("", "-"), F.lit(False))
+    return F.coalesce(~trim_white(c).isin("", "-"), F.lit(False))
 
 
 def raw_value(c: Column) -> Column:
@@ -30,20 +30,20 @@ def raw_value(c: Column) -> Column:
 
 def user_key(c: Column) -> Column:
     """User without outer white space, in lower case, without a domain before a backslash."""
-    v = _trim(F.substring_index(F.lower(_trim(c)), "\\", -1))
+    v = trim_white(F.substring_index(F.lower(trim_white(c)), "\\", -1))
     return F.when(~v.isin("", "-"), v)
 
 
 def ip_key(c: Column) -> Column:
     """The IPv4 address in dotted form; IPv6-mapped notation is the same address; 0.0.0.0 is none."""
-    v = F.regexp_replace(F.lower(_trim(c)), "^::ffff:", "")
+    v = F.regexp_replace(F.lower(trim_white(c)), "^::ffff:", "")
     octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     return F.when(v.rlike(f"^{octet}(?:\\.{octet}){{3}}$") & (v != "0.0.0.0"), v)
 
 
 def site_key(c: Column) -> Column:
     """Host of a url in lower case, without login, port and final dot."""
-    v = F.lower(_trim(c))
+    v = F.lower(trim_white(c))
     host = F.regexp_extract(v, r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
     host = F.regexp_replace(host, r"\.$", "")
     return F.when(host != "", host)
@@ -55,7 +55,7 @@ def epoch_seconds(c: Column) -> Column:
     The fraction is dropped. A text of another form, or with an impossible date or time, gives null. The
     session's time zone plays no part.
     """
-    v = _trim(c)
+    v = trim_white(c)
     stamp = r"^\d{4}[.\-]\d{1,2}[.\-]\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(?:$|\D)"
     parts = F.split(F.translate(v, "-T: Z", "...."), r"\.")
     day = F.unix_date(F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))).try_cast("date"))

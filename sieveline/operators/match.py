@@ -166,3 +166,35 @@ def deep_urls(url: Column) -> Column:
 def any_of(*tests: Column) -> Column:
     """True if any test is true; nulls count as false."""
     return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+
+
+def blanket(flags: list[str], is_ip: Column, is_ssl: Column) -> Column:
+    """The flag of a list by which everything of a request's kind is banned: all, addresses, SSL, or both; null for none."""
+    tests = [("**", F.lit(True)), ("*ip", is_ip), ("**s", is_ssl), ("*ips", is_ip & is_ssl)]
+    return F.coalesce(*[F.when(test, F.lit(flag)) for flag, test in tests if flag in flags], F.lit(None).cast("string"))
+
+
+def own_server(url: Column, deny_host: str, reporting_level: int) -> Column:
+    """Whether a url is the deny address itself, which only levels 1 and 2 use."""
+    if reporting_level not in (1, 2):
+        return F.lit(False)
+    host = F.regexp_extract(F.lower(F.trim(url)), "^(?:[a-z]+://)?([^/]*)", 1)
+    return F.coalesce(host.startswith(deny_host), F.lit(False))
+
+
+def first_manager(user_agent: Column, mimetype: Column, extension: Column, managers: list[tuple[str, str | None, list[str], list[str]]]) -> Column:
+    """Name of the first manager that takes a download, the last one's by default.
+
+    managers: (name, user-agent pattern or null for any, types, extensions); a manager with lists takes what is
+    on one of them, one without lists takes everything.
+    """
+    if not managers:
+        raise ValueError("there must be a manager")
+
+    def takes(pattern: str | None, types: list[str], extensions: list[str]) -> Column:
+        agent = F.lit(True) if pattern is None else user_agent.rlike(pattern)
+        if not types and not extensions:
+            return agent
+        return agent & any_of(F.lower(mimetype).isin(*types) if types else F.lit(False), F.lower(extension).isin(*extensions) if extensions else F.lit(False))
+
+    return F.coalesce(*[F.when(any_of(takes(p, t, e)), F.lit(name)) for name, p, t, e in managers], F.lit(managers[-1][0]))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def query_sets():
-    from sieveline.plans import access, content, logs, streams, urls
+    from sieveline.plans import access, content, files, logs, streams, urls
 
-    return [access.Q, content.Q, urls.Q, logs.Q, streams.Q]
+    return [access.Q, content.Q, urls.Q, logs.Q, streams.Q, files.Q]

@@ -331,3 +331,24 @@ def cached_items(spark: SparkSession, items: DataFrame, path: str, least: int =
         return items
     items.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def parse_list_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Phrase lines of many list files held as rows: (id, line, parts, weight, kind, category).
+
+    kind as for files of weighted and banned phrases; a category holds for the lines after it. Lines that are no
+    phrase lines give no rows; null texts neither. Lines count from 1 and end at LF or CR LF. Everything stays
+    in the JVM; the only shuffle brings the lines of a file together.
+    """
+    from pyspark.sql import Window
+
+    v = F.col("__v")
+    rows = df.select(id_col, F.posexplode(F.split(text_col, "\r?\n")).alias("__pos", "__v"))
+    marked = rows.filter(v.startswith("<") | v.startswith("#listcategory:")).withColumn("__c", F.when(v.startswith("#"), F.regexp_extract("__v", r'^#listcategory:\s*"([^"]*)"', 1)))
+    w = Window.partitionBy(id_col).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("category", F.nullif(F.trim(F.last("__c", ignorenulls=True).over(w)), F.lit(""))).filter(v.startswith("<"))
+    line = r"^((?:<[^>]*>\s*,\s*)*<[^>]*>)(?:<\s*([+-]?\d+)\s*>)?"
+    parts = F.filter(F.regexp_extract_all(F.lower(F.regexp_extract("__v", line, 1)), F.lit("<([^>]*)>"), F.lit(1)), lambda x: x != "")
+    weight = F.coalesce(F.regexp_extract("__v", line, 2).try_cast("int"), F.lit(0))
+    out = placed.select(id_col, (F.col("__pos") + 1).alias("line"), F.transform(parts, lambda x: F.left(x, F.lit(LONGEST))).alias("parts"), weight.alias("weight"), F.when(weight == 0, BANNED).otherwise(WEIGHTED).alias("kind"), "category")
+    return out.filter(F.size("parts") > 0)
