@@ -147,13 +147,14 @@ def display_url(c: Column) -> Column:
 
 
 def byte_size(c: Column) -> Column:
-    """Bytes as text: plain below 1 KiB, else with one decimal in KiB or MiB."""
-    kib, mib = c / 1024, c / 1048576
-    return (
-        F.when(c < 1024, F.format_string("%d bytes", c.cast("long")))
-        .when(c < 1048576, F.format_string("%.1f KiB", kib.cast("double")))
-        .otherwise(F.format_string("%.1f MiB", mib.cast("double")))
-    )
+    """Bytes as text: plain below 1 KiB, else with one decimal in KiB or MiB, halves rounded up."""
+    n = c.cast("long")
+
+    def scaled(unit: int, name: str) -> Column:
+        tenths = F.floor((n * 20 + unit) / (2 * unit))
+        return F.format_string(f"%d.%d {name}", F.floor(tenths / 10), tenths % 10)
+
+    return F.when(n < 1024, F.format_string("%d bytes", n)).when(n < 1048576, scaled(1024, "KiB")).otherwise(scaled(1048576, "MiB"))
 
 
 def duration(seconds: Column) -> Column:

@@ -47,11 +47,11 @@ _HEAD = f"CASE WHEN contains(f, '</head') THEN split_part(f, '</head', 1) ELSE s
 
 
 @Q.add("p04_meta_title", f"""SELECT doc_id, trim(regexp_replace(translate(array_to_string(regexp_extract_all({_HEAD}, '<(?:meta |title>)([^<>]*)', 1), ' '), ',="''().', '       '), ' +', ' ', 'g'), ' ') AS t
- FROM (SELECT doc_id, '<meta name="x" content="' || replace({_FOLD}, '"', '') || '"><title>' || lower(lang) || '</title></head><body>' AS f FROM documents WHERE lang IS NOT NULL)""")
+ FROM (SELECT doc_id, '<meta name="x" content="' || replace({_FOLD}, '"', '') || '"><title>' || coalesce(lower(lang), '') || '</title></head><body>' AS f FROM documents)""")
 def p04_meta_title(spark, d):
     """Meta and title text of pages made of each document's text and language."""
-    df = table(spark, d, "documents").filter("lang IS NOT NULL")
-    page = F.concat(F.lit('<meta name="x" content="'), F.translate(X.fold(F.col("text")), '"', ""), F.lit('"><title>'), F.lower("lang"), F.lit("</title></head><body>"))
+    df = table(spark, d, "documents")
+    page = F.concat(F.lit('<meta name="x" content="'), F.translate(X.fold(F.col("text")), '"', ""), F.lit('"><title>'), F.coalesce(F.lower("lang"), F.lit("")), F.lit("</title></head><body>"))
     return df.select("doc_id", X.meta_title(page).alias("t"))
 
 

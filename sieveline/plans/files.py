@@ -174,10 +174,9 @@ def s24_download_manager(spark, d):
     return df.select("log_id", M.first_manager(F.col("user_agent"), F.col("mimetype"), F.lit(None).cast("string"), managers).alias("manager"))
 
 
-@Q.add("f09_own_server", f"SELECT log_id, starts_with({_SITE}, 'cdn.') AS own FROM {_U} WHERE NOT contains(url, '@') AND {_SITE} IS NOT NULL")
+@Q.add("f09_own_server", f"SELECT log_id, starts_with(regexp_extract(lower(trim(url, ' ')), '^(?:[a-z]+://)?([^/]*)', 1), 'cdn.') AS own FROM {_U}")
 def f09_own_server(spark, d):
-    df = _urls(spark, d).filter(~F.col("url").contains("@") & L.site_key(F.col("url")).isNotNull())
-    return df.select("log_id", M.own_server(F.col("url"), "cdn.", 1).alias("own"))
+    return _urls(spark, d).select("log_id", M.own_server(F.col("url"), "cdn.", 1).alias("own"))
 
 
 @Q.add("f16_scan_exempt", f"SELECT log_id FROM {_ONCE} WHERE NOT coalesce(lower(mimetype) IN ('text/css', 'image/gif'), false) AND NOT coalesce(ends_with({_SITE}, '.invalid'), false)")

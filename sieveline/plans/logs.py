@@ -203,9 +203,9 @@ def sf19_log_time(spark, d):
     return log_once(spark, d, "start_ts").select("log_id", K.log_time(F.col("start_ts")).alias("t"))
 
 
-@Q.add("sf20_sizes", f"SELECT log_id, CASE WHEN size < 1024 THEN size || ' bytes' WHEN size < 1048576 THEN printf('%.1f KiB', size / 1024) ELSE printf('%.1f MiB', size / 1048576) END AS s, printf('%d:%02d:%02d', size // 3600, size // 60 % 60, size % 60) AS t FROM {_ONCE} WHERE size IS NOT NULL AND size % 1024 <> 51 AND (size * 10) % 512 <> 0")
+@Q.add("sf20_sizes", f"SELECT log_id, CASE WHEN size < 1024 THEN size || ' bytes' WHEN size < 1048576 THEN (size * 20 + 1024) // 2048 // 10 || '.' || (size * 20 + 1024) // 2048 % 10 || ' KiB' ELSE (size * 20 + 1048576) // 2097152 // 10 || '.' || (size * 20 + 1048576) // 2097152 % 10 || ' MiB' END AS s, printf('%d:%02d:%02d', size // 3600, size // 60 % 60, size % 60) AS t FROM {_ONCE} WHERE size IS NOT NULL")
 def sf20_sizes(spark, d):
-    df = log_once(spark, d, "size").filter("size IS NOT NULL AND size % 1024 <> 51 AND (size * 10) % 512 <> 0")
+    df = log_once(spark, d, "size").filter("size IS NOT NULL")
     return df.select("log_id", X.byte_size(F.col("size")).alias("s"), X.duration(F.col("size")).alias("t"))
 
 

@@ -286,10 +286,10 @@ def c07_search_filter(spark, d):
     return out.filter("outcome = 'weighted'").select("log_id", "score")
 
 
-@Q.add("s26_urlencoded", f"SELECT log_id, ' ' || array_to_string(list_transform(string_split(split_part(url, '?', 2), '&'), lambda x: CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE x END), ' ') || ' ' AS v FROM {_U} WHERE contains(url, '?') AND NOT contains(url, '%') AND NOT contains(url, '+')")
+@Q.add("s26_urlencoded", f"SELECT log_id, url_decode(replace(' ' || array_to_string(list_transform(string_split(split_part(url, '?', 2), '&'), lambda x: CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE x END), ' ') || ' ', '+', ' ')) AS v FROM {_U} WHERE contains(url, '?')")
 def s26_urlencoded(spark, d):
     """Values of query strings, read as posted forms."""
-    df = _urls(spark, d).filter("contains(url, '?') AND NOT contains(url, '%') AND NOT contains(url, '+')")
+    df = _urls(spark, d).filter("contains(url, '?')")
     return df.select("log_id", H.form_values(F.get(F.split("url", r"\?"), F.lit(1))).alias("v"))
 
 
