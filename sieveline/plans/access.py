@@ -128,8 +128,9 @@ def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SESSIONS = f"""WITH e AS (SELECT coalesce('user:' || {_USER}, 'ip:' || {_IP}) AS actor, {_WHEN} AS s FROM {_ONCE}),
- m AS (SELECT actor, s, CASE WHEN s - lag(s) OVER (PARTITION BY actor ORDER BY s) <= 1800 THEN 0 ELSE 1 END AS o FROM e WHERE actor IS NOT NULL AND s IS NOT NULL),
- k AS (SELECT actor, s, sum(o) OVER (PARTITION BY actor ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM m)"""
+ g AS (SELECT actor, s, count(*) AS n FROM e WHERE actor IS NOT NULL AND s IS NOT NULL GROUP BY ALL),
+ m AS (SELECT actor, s, n, CASE WHEN s - lag(s) OVER (PARTITION BY actor ORDER BY s) <= 1800 THEN 0 ELSE 1 END AS o FROM g),
+ k AS (SELECT actor, s, n, sum(o) OVER (PARTITION BY actor ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM m)"""
 
 
 @Q.add("p5_found", f"{_SESSIONS} SELECT actor, min(s) AS start_s, max(s) AS end_s FROM k GROUP BY actor, k")
@@ -137,6 +138,6 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_sessions(spark, sf_dir).select("actor", "start_s", "end_s")
 
 
-@Q.add("p5_sessions", f"{_SESSIONS} SELECT actor, min(s) AS start_s, max(s) AS end_s, max(s) - min(s) AS duration_s, count(*) AS n_events FROM k GROUP BY actor, k")
+@Q.add("p5_sessions", f"{_SESSIONS} SELECT actor, min(s) AS start_s, max(s) AS end_s, max(s) - min(s) AS duration_s, CAST(sum(n) AS BIGINT) AS n_events FROM k GROUP BY actor, k")
 def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_sessions(spark, sf_dir)

@@ -243,7 +243,7 @@ def t04_ip_slots(spark, d):
     return S.admitted_clients(df, "ip", "s", 200)
 
 
-@Q.add("a08_active_ips", f"""WITH e AS (SELECT {_IP} AS ip, s FROM {_REQ}), m AS (SELECT ip, s, CASE WHEN s - lag(s) OVER w <= 86399 THEN 0 ELSE 1 END AS o FROM e WHERE ip IS NOT NULL WINDOW w AS (PARTITION BY ip ORDER BY s)),
+@Q.add("a08_active_ips", f"""WITH e AS (SELECT DISTINCT {_IP} AS ip, s FROM {_REQ}), m AS (SELECT ip, s, CASE WHEN s - lag(s) OVER w <= 86399 THEN 0 ELSE 1 END AS o FROM e WHERE ip IS NOT NULL WINDOW w AS (PARTITION BY ip ORDER BY s)),
  k AS (SELECT ip, s, sum(o) OVER (PARTITION BY ip ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM m), p AS (SELECT min(s) AS a, max(s) AS b FROM k GROUP BY ip, k),
  c AS (SELECT (a + 179) // 180 * 180 AS tick_s, 1 AS x FROM p UNION ALL SELECT (b + 86400 + 179) // 180 * 180, -1 FROM p), t AS (SELECT tick_s, sum(x) AS x FROM c GROUP BY 1 HAVING sum(x) <> 0),
  r AS (SELECT tick_s, sum(x) OVER (ORDER BY tick_s) AS current FROM t)
