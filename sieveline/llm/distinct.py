@@ -54,6 +54,8 @@ def hash_runs(df: DataFrame, cells: list[str], value: Column, shards: int | None
     Equal hashes within a task are joined before anything is shuffled. Partial results of different inputs
     can be put together with unionByName and merged with merge_runs, given equal shards.
     """
+    if clash := {"shard", "n_values", "n_distinct", "is_total", "run"} & set(cells):
+        raise ValueError(f"cell columns have names of the result: {sorted(clash)}")
     n_shards = _shards(df, shards)
     bits = n_shards.bit_length() - 1
     rows = df.select(*[F.col(f"`{c}`") for c in cells], F.when(value.isNotNull(), F.xxhash64(value)).alias("__h")).filter("__h IS NOT NULL")
