@@ -21,7 +21,7 @@ DENIED = Packing(no_values=("N/A",), decode="percent")
 #: Character class of white space for the oracle's regular expressions.
 _WS = r"[\s\x{0b}\x{85}\p{Z}]"
 _TRIM = lambda c: f"regexp_replace(regexp_replace({c}, '^{_WS}+', ''), '{_WS}+$', '')"
-_ONCE = "(SELECT * FROM access_log QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY recv_ts) = 1)"
+_ONCE = "(SELECT * FROM access_log QUALIFY log_id IS NULL OR row_number() OVER (PARTITION BY log_id ORDER BY recv_ts) = 1)"
 _USER = f"nullif(nullif(regexp_replace(lower({_TRIM('user_name')}), '^.*\\\\', ''), ''), '-')"
 _IP = f"nullif(nullif(nullif(regexp_replace(lower({_TRIM('ip')}), '^::ffff:', ''), ''), '-'), '0.0.0.0')"
 _SITE = f"nullif(regexp_replace(regexp_extract(lower({_TRIM('url')}), '//(?:[^/?#]*@)?([^/?#:]*)', 1), '\\.$', ''), '')"

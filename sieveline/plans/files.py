@@ -275,7 +275,7 @@ def k11_store_blocked(spark, d):
     """Blocked rows written by kind and read back."""
     path = shared_folder(spark)
     K.store_blocked(log_once(spark, d, "naughty_type", "is_naughty", "url").filter("is_naughty"), path, "naughty_type")
-    return spark.read.parquet(path).groupBy("naughty_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("log_id long, is_naughty boolean, url string, naughty_type int").parquet(path).groupBy("naughty_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @Q.add("k13_alert_rows", f"SELECT log_id, 'Where: ' || coalesce(url, '') || chr(10) || 'Why: ' || coalesce(what, '') AS report FROM {_ONCE} WHERE is_naughty")
