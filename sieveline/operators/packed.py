@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,24 +114,32 @@ def tokenize(text: str | None, how: Packing = Packing()) -> list[str]:
     return out
 
 
-def split_packed(df: DataFrame, column: str, keep: list[str], how: Packing = Packing(), pos: str = "pos", val: str = "val") -> DataFrame:
+def split_packed(df: DataFrame, column: str, keep: list[str], how: Packing = Packing(), pos: str = "pos", val: str = "val", only: Column | None = None) -> DataFrame:
     """One row for each value packed in a column: the kept columns, the place from 1 and the value.
 
     Null, empty and blank fields and fields of nothing but delimiters give no rows. Only the kept columns are
     carried, so extra columns of df can't clash; a kept column named as pos or val raises ValueError. Repeated
     rows are split each on its own. No shuffle: each Arrow batch is split where it lies, and a text that
-    repeats within a batch is tokenized once.
+    repeats within a batch is tokenized once. only: rows for which this is false or null hold a single value,
+    which comes out as it stands; so fields of both kinds can be read in one pass.
     """
     if {pos, val} & set(keep):
         raise ValueError(f"kept columns clash with {pos} or {val}")
     kept = [df.schema[c] for c in keep]
     schema = T.StructType([*kept, T.StructField(pos, T.IntegerType()), T.StructField(val, T.StringType())])
     fields = F.col(f"`{column}`")
-    inner = df.select(*[F.col(f"`{c}`") for c in keep], fields.cast("string").alias("__packed")).filter(F.length("__packed") > 0)
+    is_packed = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    inner = df.select(*[F.col(f"`{c}`") for c in keep], is_packed.alias("__only"), fields.cast("string").alias("__packed")).filter(F.length("__packed") > 0)
+    n_kept, names = len(keep), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).dictionary_encode()
+            packed = b.column(n_kept)
+            if packed.true_count < b.num_rows:
+                single = b.filter(pc.invert(packed))
+                yield pa.RecordBatch.from_arrays([*single.columns[:n_kept], pa.array([1] * single.num_rows, pa.int32()), single.column(n_kept + 1)], names=names)
+                b = b.filter(packed)
+            texts = b.column(n_kept + 1).dictionary_encode()
             split = [tokenize(t, how) for t in texts.dictionary.to_pylist()]
             rows, places, values = [], [], []
             for row, code in enumerate(texts.indices.to_pylist()):
@@ -141,8 +150,8 @@ def split_packed(df: DataFrame, column: str, keep: list[str], how: Packing = Pac
             if rows:
                 at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).take(at) for k in range(b.num_columns - 1)), pa.array(places, pa.int32()), pa.array(values, pa.string())],
-                    names=[f.name for f in schema],
+                    [*(b.column(k).take(at) for k in range(n_kept)), pa.array(places, pa.int32()), pa.array(values, pa.string())],
+                    names=names,
                 )
 
     return inner.mapInArrow(run, schema)

@@ -55,6 +55,10 @@ def test_split_packed_rows(spark):
     df = spark.createDataFrame([(1, "a, b", 5), (1, "a, b", 5), (None, "c", 1), (2, None, 1), (3, "", 1)], "id long, f string, pos int")
     got = sorted(map(tuple, split_packed(df, "f", ["id"]).collect()), key=repr)
     assert got == sorted([(1, 1, "a"), (1, 2, "b"), (1, 1, "a"), (1, 2, "b"), (None, 1, "c")], key=repr)
+    some = split_packed(df, "f", ["id"], only=F.col("pos") == 5).collect()
+    assert sorted(map(tuple, some), key=repr) == sorted([(1, 1, "a"), (1, 2, "b"), (1, 1, "a"), (1, 2, "b"), (None, 1, "c")], key=repr)
+    none = split_packed(df, "f", ["id"], only=F.lit(None).cast("boolean")).collect()
+    assert sorted(map(tuple, none), key=repr) == sorted([(1, 1, "a, b"), (1, 1, "a, b"), (None, 1, "c")], key=repr)
     with pytest.raises(ValueError):
         split_packed(df, "f", ["pos"])
     assert split_packed(df.limit(0), "f", ["id"]).collect() == []
