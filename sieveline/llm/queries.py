@@ -48,11 +48,11 @@ def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, L.log_day(seconds).alias("log_day"), F.col("filter_group").cast("int").alias("filter_group"),
         L.user_key(F.col("user_name")).alias("user_name"), L.ip_key(F.col("ip")).alias("ip"), category.alias("category"),
     ).filter("log_day IS NOT NULL")
-    names = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("val")) for c in ("user_name", "ip")])
-    cell = ["log_day", "filter_group"]
-    single = once.select(*cell, F.explode(names).alias("f")).select(*cell, "f.field", "f.val")
-    several = split_packed(once, "category", cell, LOGGED).select(*cell, F.lit("category").alias("field"), "val")
-    return hash_runs(single.unionByName(several), ["log_day", "filter_group", "field"], F.col("val"))
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("user_name", "ip", "category")])
+    rows = once.select("log_day", "filter_group", F.explode(fields).alias("f")).select("log_day", "filter_group", "f.field", "f.text")
+    cell = ["log_day", "filter_group", "field"]
+    values = split_packed(rows, "text", cell, LOGGED, only=F.col("field") == "category")
+    return hash_runs(values, cell, F.col("val"))
 
 
 def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
