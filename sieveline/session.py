@@ -29,10 +29,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application.
+
+    On a cluster the archive lies in the shared folder of spark.checkpoint.dir; where none is named, the package
+    must be installed on the executors. A temporary folder is used only where driver and executors are one.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    _shipped.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -41,12 +46,19 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    # The driver's file server hands the archive out; executors never read the driver's folder.
-    path = os.path.join(tempfile.mkdtemp(prefix="sieveline-"), "sieveline_pkg.zip")
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
+    if sc.master.startswith("local["):
+        path = os.path.join(tempfile.mkdtemp(prefix="sieveline-"), "sieveline_pkg.zip")
+        with open(path, "wb") as f:
+            f.write(data.getvalue())
+    elif shared := spark.conf.get("spark.checkpoint.dir", ""):
+        path = f"{shared}/sieveline-{sc.applicationId}/sieveline_pkg.zip"
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+    else:
+        return
     sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
