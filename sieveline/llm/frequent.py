@@ -65,6 +65,9 @@ class Candidates:
             estimate, value = heapq.heappop(self.heap)
             if self.held.get(value) == estimate:
                 del self.held[value]
+        if len(self.heap) > 64 + 2 * len(self.held):  # most entries are earlier estimates of values still held
+            self.heap = [(e, v) for v, e in self.held.items()]
+            heapq.heapify(self.heap)
 
 
 def frequent_values(df: DataFrame, column: str, min_share: float, depth: int = DEPTH, width_bits: int = WIDTH_BITS) -> DataFrame:

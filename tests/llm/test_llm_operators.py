@@ -84,6 +84,21 @@ def test_sketch_is_never_low():
         assert all(e >= true[h] for h, e in zip(some.tolist(), estimates))
 
 
+def test_candidates_stay_few_and_lose_none():
+    import pyarrow as pa
+
+    from sieveline.llm.frequent import Candidates
+
+    rng, heavy, true = random.Random(8), Candidates(0.05), Counter()
+    for k in range(2000):
+        counts = Counter(rng.choice(["hot"] * 9 + ["warm"] * 2 + [f"v{k}-{rng.randrange(50)}"] * 9) for _ in range(40))
+        true.update(counts)
+        names = list(counts)
+        heavy.offer(pa.array(names), np.array([true[x] for x in names]), 40)
+        assert len(heavy.heap) <= 64 + 2 * len(heavy.held) and len(heavy.held) <= 20 + 40 * (k < 20)
+    assert {x: n for x, n in true.items() if n >= 0.05 * heavy.total} == {x: n for x, n in heavy.held.items() if n >= 0.05 * heavy.total}
+
+
 def test_frequent_values(spark):
     rng = random.Random(5)
     values = ["hot"] * 4000 + ["warm"] * 300 + ["tie1"] * 200 + ["tie2"] * 200 + [f"v{rng.randrange(10**6)}" for _ in range(5000)] + [None] * 900 + [""] * 150
