@@ -14,7 +14,6 @@ from sieveline.functions import text as X
 from sieveline.functions import url as U
 from sieveline.operators import identity as ID
 from sieveline.operators import labels as LB
-from sieveline.operators import match as M
 from sieveline.operators import scanners as SC
 from sieveline.operators import verdict as V
 from sieveline.plans import inline as I
