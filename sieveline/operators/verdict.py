@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import logfields as L
 from sieveline.functions import url as U
 from sieveline.operators.match import address_keys, extension_hits, first_regex, range_keys, site_keys, url_keys
-from sieveline.sources.lists import Regex
+from sieveline.sources.lists import LIMIT, Regex, in_time
 
 #: Reason codes, as the message catalogue numbers them. Fixed values.
 CODES = {
@@ -28,7 +28,7 @@ def hits_by_list(keyed: DataFrame, ids: list[str], rules: DataFrame) -> DataFram
     return keyed.join(named, "item").groupBy(*ids, "list_name").agg(best).select(*ids, "list_name", "b.item", "b.category")
 
 
-def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: DataFrame, banned_regexes: list[Regex] = (), exception_regexes: list[Regex] = (), regex_over_grey: bool = False, group_mode: Column | None = None) -> DataFrame:
+def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: DataFrame, banned_regexes: list[Regex] = (), exception_regexes: list[Regex] = (), regex_over_grey: bool = False, group_mode: Column | None = None, ts: str | None = None) -> DataFrame:
     """(id, verdict, code, item, category, room) of every request.
 
     requests: (id, url, ip, client_host). items: (list_name, item, category) with bannedsite, bannedurl,
@@ -37,7 +37,8 @@ def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: Da
     Exceptions come first (group mode 2, address, site, url, expression), then group mode 0 and banned
     addresses and rooms, then, unless the site or url is grey, banned site, url and expression; with
     regex_over_grey expressions come before the grey lists and hold in spite of them. verdict is "exception",
-    "banned" or "clean". Requests must have an id of their own; each comes out once.
+    "banned" or "clean". Requests must have an id of their own; each comes out once. ts: a column of the
+    requests; rules with a time limit `tl` then hold only within it, else they always hold.
 
     The requests are read once: each makes the keys by which sites, urls, addresses and hosts are looked up and
     a key that meets nothing, all in one join with all rules; what is left of it, a row for each hit and one
@@ -47,25 +48,26 @@ def request_verdicts(requests: DataFrame, id_col: str, items: DataFrame, ips: Da
     none = F.lit(None).cast("string")
     tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
     mode = F.lit(1) if group_mode is None else group_mode
-    looked = requests.select(id_col, F.lower("client_host").alias("__client"), U.ip_number(L.ip_key(F.col("ip"))).alias("__n"), L.site_key(F.col("url")).alias("__site"), U.list_key(F.col("url")).alias("__look"), mode.alias("__mode"))
+    looked = requests.select(id_col, F.lower("client_host").alias("__client"), U.ip_number(L.ip_key(F.col("ip"))).alias("__n"), L.site_key(F.col("url")).alias("__site"), U.list_key(F.col("url")).alias("__look"), mode.alias("__mode"), (F.col(ts) if ts else F.lit(None)).cast("timestamp_ntz").alias("__ts"))
     looked = looked.withColumns({"__br": first_regex(F.col("__look"), list(banned_regexes)), "__er": first_regex(F.col("__look"), list(exception_regexes))})
-    kept = [id_col, "__n", "__mode", "__br", "__er"]
+    kept = [id_col, "__n", "__mode", "__br", "__er", "__ts"]
     sited = looked.select(*kept, "__client", "__look", U.host_suffixes(F.col("__site")).alias("__sites"))
     keyed = url_keys(sited, [*kept, "__client", "__sites"], F.col("__look"))
     keys = [tagged("s:", F.col("__sites")), tagged("u:", F.col("__keys")), tagged("n:", address_keys(F.col("__n"))), F.array(F.concat(F.lit("h:"), "__client")), F.array(F.concat(F.lit("-:"), F.col(id_col).cast("string")))]
     empty = F.array().cast("array<string>")
     facts = keyed.select(*kept, F.posexplode_outer(F.concat(*[F.coalesce(k, empty) for k in keys])).alias("__pos", "__k"))
-    listed = items.filter(F.col("list_name").isin(*names)).groupBy("list_name", F.lower(F.trim("item")).alias("item")).agg(F.min("category").alias("category"))
+    limit = F.lit(None) if ts is None or "tl" not in items.columns else F.col("tl")
+    listed = items.filter(F.col("list_name").isin(*names)).groupBy("list_name", F.lower(F.trim("item")).alias("item"), limit.cast(LIMIT).alias("tl")).agg(F.min("category").alias("category"))
     kind = F.when(F.col("list_name").endswith("site"), "s:").otherwise("u:")
-    no_range = [F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")]
+    no_range, no_limit = [F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")], F.lit(None).cast(LIMIT).alias("tl")
     addresses = ips.filter("list_name IN ('bannedip', 'exceptionip', 'rooms')")
     ranges = range_keys(addresses.filter("kind <> 'host'"), ["list_name", "room", "lo", "hi"])
     rules = (
-        listed.select("list_name", "item", "category", F.concat(kind, "item").alias("__k"), *no_range)
-        .unionByName(ranges.select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("n:"), "key").alias("__k"), "lo", "hi"))
-        .unionByName(addresses.filter("kind = 'host'").select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("h:"), F.lower("host")).alias("__k"), *no_range))
+        listed.select("list_name", "item", "category", F.concat(kind, "item").alias("__k"), *no_range, "tl")
+        .unionByName(ranges.select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("n:"), "key").alias("__k"), "lo", "hi", no_limit))
+        .unionByName(addresses.filter("kind = 'host'").select("list_name", none.alias("item"), F.col("room").alias("category"), F.concat(F.lit("h:"), F.lower("host")).alias("__k"), *no_range, no_limit))
     )
-    met = facts.join(rules, "__k", "left").filter(F.col("__k").startswith("-:") | (F.col("list_name").isNotNull() & (F.col("lo").isNull() | F.col("__n").between(F.col("lo"), F.col("hi")))))
+    met = facts.join(rules, "__k", "left").filter(F.col("__k").startswith("-:") | (F.col("list_name").isNotNull() & (F.col("lo").isNull() | F.col("__n").between(F.col("lo"), F.col("hi"))) & in_time(F.col("tl"), F.col("__ts"))))
     one = lambda name: F.min(F.when(F.col("list_name") == name, F.struct("__pos", "item", "category"))).alias(name)
     facts = met.groupBy(id_col).agg(F.max("__mode").alias("__mode"), F.max("__br").alias("__br"), F.max("__er").alias("__er"), *[one(n) for n in names])
     c = lambda n: F.col(n).isNotNull()

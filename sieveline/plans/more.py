@@ -50,6 +50,16 @@ def f10_exceptions(spark, d):
     return urls.c05_request_verdict(spark, d).filter("verdict = 'exception'").select("log_id", "code")
 
 
+@Q.add("c05_timed_sites", f"""SELECT DISTINCT log_id FROM {urls._SUFFIX} s JOIN (SELECT lower(trim(item)) AS item, tl FROM rules_item WHERE list_name = 'bannedsite') r ON r.item = s.suffix
+ JOIN (SELECT log_id, start_ts FROM {access._ONCE}) o USING (log_id) WHERE coalesce({logs._IN_TIME}, false)""")
+def c05_timed_sites(spark, d):
+    """Requests that a site rule bans at their own time: the verdict with time limits."""
+    sites = table(spark, d, "rules_item").filter("list_name = 'bannedsite'")
+    requests = urls._urls(spark, d, "ip", "client_host", "start_ts")
+    out = V.request_verdicts(requests, "log_id", sites, table(spark, d, "rules_ip").filter(F.lit(False)), ts="start_ts")
+    return out.filter("code = 500").select("log_id")
+
+
 @Q.add("f17_grey_override", f"SELECT DISTINCT log_id FROM {urls._SUFFIX} s JOIN {urls._RULES('bannedsite')} r ON r.item = s.suffix WHERE log_id IN (SELECT log_id FROM {urls._SUFFIX} s JOIN {urls._RULES('greysite')} r ON r.item = s.suffix)")
 def f17_grey_override(spark, d):
     """Requests whose banned site is on the grey list too."""

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 EXCEPTION, BANNED, WEIGHTED = -1, 0, 1
 COMBI = 10
 
-ITEM_SCHEMA = "list string, item string, category string, tl struct<sth:int,stm:int,enh:int,enm:int,days:string>"
+#: Type of a time limit.
+LIMIT = "struct<sth:int,stm:int,enh:int,enm:int,days:string>"
+ITEM_SCHEMA = f"list string, item string, category string, tl {LIMIT}"
 #: Lines of a list that stand for everything of a kind. Fixed values.
 FLAGS = ("**", "*ip", "**s", "*ips")
 #: A phrase has at most so many characters.
@@ -97,7 +99,7 @@ def read_items(spark: SparkSession, path: str, name: str, strip_port: bool = Fal
     tl = F.struct(*[F.lit(x).alias(n) for x, n in zip(limit, ("sth", "stm", "enh", "enm", "days"))]) if limit else F.lit(None)
     own = (
         text.filter(~v.startswith("#") & ~v.startswith(".Include<") & ~F.trim(v).isin(*FLAGS))
-        .select(F.lit(name).alias("list"), item.alias("item"), F.lit(category).cast("string").alias("category"), tl.cast("struct<sth:int,stm:int,enh:int,enm:int,days:string>").alias("tl"))
+        .select(F.lit(name).alias("list"), item.alias("item"), F.lit(category).cast("string").alias("category"), tl.cast(LIMIT).alias("tl"))
         .filter(F.length("item") >= 2)
     )
     for path in includes:

@@ -160,6 +160,17 @@ def test_request_verdicts(spark):
     assert modes[1] == 601 and modes[2] == 102
 
 
+def test_time_limits_in_verdicts(spark):
+    tl = "named_struct('sth', 9, 'stm', 0, 'enh', 17, 'enm', 0, 'days', '01234')"
+    items = spark.sql(f"SELECT 'bannedsite' AS list_name, 'bad.example' AS item, 'day' AS category, {tl} AS tl UNION ALL SELECT 'exceptionsite', 'bad.example', 'weekend', named_struct('sth', 0, 'stm', 0, 'enh', 23, 'enm', 59, 'days', '56')")
+    ips = spark.createDataFrame([], "list_name string, kind string, lo long, hi long, host string, room string")
+    times = {1: "2024-01-01 10:00:00", 2: "2024-01-01 18:00:00", 3: "2024-01-06 10:00:00", 4: None}
+    df = spark.createDataFrame([(i, "http://bad.example/", None, None, t) for i, t in times.items()], "id int, url string, ip string, client_host string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = {r["id"]: (r["code"], r["category"]) for r in V.request_verdicts(df, "id", items, ips, ts="ts").collect()}
+    assert got == {1: (500, "day"), 2: (0, None), 3: (602, "weekend"), 4: (0, None)}
+    assert {r["code"] for r in V.request_verdicts(df, "id", items, ips).collect()} == {602}
+
+
 def test_download_verdicts(spark):
     items = spark.createDataFrame([("bannedextension", ".zip", None), ("bannedmimetype", "application/zip", None), ("exceptionextension", ".ok.zip", None), ("exceptionfilesite", "good.example", None), ("exceptionmimetype", "text/safe", None)], "list_name string, item string, category string")
     rows = [
