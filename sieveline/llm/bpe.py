@@ -39,6 +39,22 @@ MEMO = 150_000
 LONG = 64
 
 
+class _Memo(dict):
+    """Ids by piece; a piece that isn't there is encoded, and kept if it is short."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.encode(piece.encode("utf-8").decode("latin-1"))
+        if len(piece) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes pieces and texts; one in each Python worker."""
 
@@ -56,7 +72,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         self.agree: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = _Memo(self.encode_bytes)
 
     def merged(self, text: str) -> list[str]:
         """The merges applied one after the other, lowest rank first: for pairs of tokens, and for tests."""
@@ -117,27 +133,11 @@ class Encoder:
                 at -= int(lengths[token])
         return tuple(out)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.memo.get(piece)
-        if found is None:
-            found = self.encode_bytes(piece.encode("utf-8").decode("latin-1"))
-            if len(piece) <= LONG:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
-
     def pieces(self, text: str) -> list[str]:
         return _CUT_ASCII(text) if text.isascii() else _CUT(text)
 
     def encode_pieces(self, text: str) -> list[tuple[int, ...]]:
-        pieces = self.pieces(text)
-        found = list(map(self.memo.get, pieces))
-        if None in found:
-            for k, f in enumerate(found):
-                if f is None:
-                    found[k] = self.piece(pieces[k])
-        return found
+        return list(map(self.memo.__getitem__, self.pieces(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.encode_pieces(text))) if text else []
