@@ -11,58 +11,94 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Stands for "none yet" where a state holds a time.
+_NEVER = -(1 << 62)
+
+
+def _due(parts: Iterator[pd.DataFrame], state: GroupState, pending: str) -> tuple[list[int], list[int]]:
+    """Times that no later row can come before any more, in order, and those that still have to wait.
+
+    Rows up to the watermark can't come any more, so what a key has up to it is complete.
+    """
+    times = sorted([*map(int, pending.split()), *(t for p in parts for t in p["t_s"].tolist())])
+    mark = state.getCurrentWatermarkMs()
+    n = sum(t * 1000 <= mark for t in times)
+    return times[:n], times[n:]
+
+
+def _texts(times: list[int]) -> str:
+    return " ".join(map(str, times))
+
+
 def clean_cache(stream: DataFrame, url: str, group: str, t: str, ttl_s: int = 900) -> DataFrame:
-    """(url, grp, t_s, is_hit) of a stream's requests; the watermark of the stream drives the entries' expiry.
+    """(url, grp, t_s, is_hit) of a stream's requests; the stream must have a watermark on t.
 
-    State: the last time of each url and group, dropped ttl_s after it in event time. A global limit of
-    entries would need one task for all keys, so there is none.
+    A request comes out when the watermark has reached it, so requests of a key are judged in order of their
+    time, however they come. State: the last time of each url and group, dropped ttl_s after it in event time,
+    and the times the watermark hasn't reached. A global limit of entries would need one task for all keys, so
+    there is none.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values("t_s", kind="stable")
-        last = state.get[0] if state.exists else None
+        last, pending = state.get if state.exists else (_NEVER, "")
+        due, waiting = _due(parts, state, pending)
         hits = []
-        for t in rows["t_s"].tolist():
-            hits.append(last is not None and 0 <= t - last <= ttl_s)
-            last = t if last is None else max(last, t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"url": key[0], "grp": key[1], "t_s": rows["t_s"], "is_hit": hits})
+        for s in due:
+            hits.append(s - last <= ttl_s)
+            last = s
+        mark = state.getCurrentWatermarkMs()
+        if waiting or (last + ttl_s) * 1000 > mark:
+            state.update((last, _texts(waiting)))
+            state.setTimeoutTimestamp(waiting[0] * 1000 if waiting else (last + ttl_s) * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"url": key[0], "grp": key[1], "t_s": pd.Series(due, dtype="int64"), "is_hit": pd.Series(hits, dtype="bool")})
 
     keyed = stream.select(F.col(url).alias("url"), F.col(group).cast("long").alias("grp"), F.col(t), F.unix_timestamp(t).alias("t_s"))
-    return keyed.groupBy("url", "grp").applyInPandasWithState(step, "url string, grp long, t_s long, is_hit boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("url", "grp").applyInPandasWithState(step, "url string, grp long, t_s long, is_hit boolean", "last long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def violation_alerts(stream: DataFrame, key: str, t: str, violations: int, threshold_s: int = 0) -> DataFrame:
-    """(key, first, last, n) as a stream: the counter and the first time of each key are its state."""
+    """(key, first, last, n) as a stream with a watermark on t.
+
+    State: the counter and the first time of each key, which no time limits, and the times that the watermark
+    hasn't reached; those are counted in order of time once it has.
+    """
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n = state.get if state.exists else (0, 0)
+        first, n, pending = state.get if state.exists else (0, 0, "")
+        due, waiting = _due(parts, state, pending)
         out = []
-        for s in sorted(s for p in parts for s in p["t_s"].tolist()):
+        for s in due:
             first, n = (s if n == 0 else first), n + 1
             if n == violations:
                 if not threshold_s or s - first <= threshold_s:
                     out.append((name[0], first, s, n))
                 first, n = 0, 0
-        state.update((first, n))
+        state.update((first, n, _texts(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(waiting[0] * 1000)
         yield pd.DataFrame(out, columns=["key", "first", "last", "n"])
 
-    keyed = stream.select(F.col(key).alias("key"), F.unix_timestamp(t).alias("t_s")).filter("key IS NOT NULL")
-    return keyed.groupBy("key").applyInPandasWithState(step, "key string, first long, last long, n long", "first long, n long", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.select(F.col(key).alias("key"), F.col(t), F.unix_timestamp(t).alias("t_s")).filter("key IS NOT NULL")
+    return keyed.groupBy("key").applyInPandasWithState(step, "key string, first long, last long, n long", "first long, n long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def active_clients(stream: DataFrame, client: str, t: str, late: str = "1 day", every: str = "180 seconds") -> DataFrame:
-    """(start, n): different clients of each tick, late rows counted up to the watermark; a sketch keeps the state small."""
-    return stream.withWatermark(t, late).groupBy(F.window(t, every)).agg(F.approx_count_distinct(client).alias("n")).select(F.col("window.start").alias("start"), "n")
+def active_clients(stream: DataFrame, client: str, t: str, late: str | None = "1 day", every: str = "180 seconds") -> DataFrame:
+    """(start, n): different clients of each tick, late rows counted up to the watermark; a sketch keeps the state small.
+
+    late: None where the stream has a watermark on t of its own.
+    """
+    marked = stream.withWatermark(t, late) if late else stream
+    return marked.groupBy(F.window(t, every)).agg(F.approx_count_distinct(client).alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
-def sessions(stream: DataFrame, actor: Column, t: str, gap: str = "1800 seconds", late: str = "3 days") -> DataFrame:
-    """(actor, start, end, n) of a stream's sessions; end is the last event plus the gap."""
-    named = stream.withWatermark(t, late).withColumn("actor", actor).filter("actor IS NOT NULL")
+def sessions(stream: DataFrame, actor: Column, t: str, gap: str = "1800 seconds", late: str | None = "3 days") -> DataFrame:
+    """(actor, start, end, n) of a stream's sessions; end is the last event plus the gap.
+
+    late: None where the stream has a watermark on t of its own.
+    """
+    named = (stream.withWatermark(t, late) if late else stream).withColumn("actor", actor).filter("actor IS NOT NULL")
     return named.groupBy("actor", F.session_window(t, gap)).agg(F.count(F.lit(1)).alias("n")).select("actor", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
