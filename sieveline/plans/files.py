@@ -13,7 +13,8 @@ from sieveline.operators import match as M
 from sieveline.operators import scanners as SC
 from sieveline.operators import verdict as V
 from sieveline.plans import inline as I
-from sieveline.plans.access import _ONCE, _SITE, _TRIM, log_once
+from sieveline.operators.packed import split_packed
+from sieveline.plans.access import _ONCE, _SITE, _TRIM, _values_sql, DENIED, log_once
 from sieveline.plans.registry import QuerySet
 from sieveline.plans.streams import shared_folder
 from sieveline.plans.urls import _U, _urls
@@ -161,11 +162,22 @@ def j18_message_lookup(spark, d):
 
 @Q.add("j16_category_names", "SELECT block_id, cat_id FROM deny_redirects JOIN (SELECT category, min(cat_id) AS cat_id FROM category_names GROUP BY 1) ON " + _TRIM('categories') + " = category")
 def j16_category_names(spark, d):
-    """Ids of known categories for fields that hold a single one."""
+    """Ids of known categories for fields that hold a single one; j16_category_ids reads every value."""
     names = table(spark, d, "category_names").groupBy("category").agg(F.min("cat_id").alias("cat_id"))
     return table(spark, d, "deny_redirects").select("block_id", L.trim_white(F.col("categories")).alias("category")).join(names, "category").select("block_id", "cat_id")
 
 
+@Q.add("j16_category_ids", f"""WITH d AS (SELECT block_id, list_filter({_values_sql("url_decode(replace(categories, '+', '%2B'))")}, lambda x: x <> 'N/A') AS v FROM deny_redirects WHERE {_TRIM('categories')} NOT IN ('', '-')),
+ e AS (SELECT block_id, CAST(unnest(generate_series(1, len(v))) AS INTEGER) AS pos, unnest(v) AS val FROM d WHERE len(v) > 0)
+ SELECT block_id, pos, cat_id FROM e JOIN (SELECT category, min(cat_id) AS cat_id FROM category_names GROUP BY 1) ON val = category""")
+def j16_category_ids(spark, d):
+    """Ids of all known categories that a field packs, with their places in it."""
+    names = table(spark, d, "category_names").groupBy("category").agg(F.min("cat_id").alias("cat_id"))
+    denied = table(spark, d, "deny_redirects").select("block_id", "categories").filter(L.has_value(F.col("categories")))
+    values = split_packed(denied, "categories", ["block_id"], DENIED, val="category")
+    return values.join(names, "category").select("block_id", "pos", "cat_id")
+
+
 @Q.add("s24_download_manager", f"""SELECT log_id, CASE WHEN lower(mimetype) IN ('video/mp4', 'application/zip') AND coalesce(regexp_matches(user_agent, 'Larkview'), false) THEN 'fancy' WHEN lower(mimetype) = 'image/png' THEN 'trickle' ELSE 'default' END AS manager FROM {_ONCE}""")
 def s24_download_manager(spark, d):
     """The first manager that takes a download."""
