@@ -153,6 +153,42 @@ def embedded_urls(html: Column) -> Column:
     return F.concat(absolute, F.filter(linked, lambda u: ~u.rlike("(?i)^(?:https?|ftp)://")))
 
 
+def page_links(html: Column, base: Column) -> Column:
+    """Array of (url, relative) of embedded_urls, relative targets made absolute by the page's own url.
+
+    A relative target is null where the page's url is; other protocols than those of embedded_urls are left out.
+    """
+    own = F.substring_index(base, "?", 1)
+    folder = F.when(own.endswith("/"), own).otherwise(F.concat(own, F.lit("/")))
+    root = F.regexp_extract(own, "(?i)^((?:[a-z]+://)?[^/]*)", 1)
+
+    def link(u: Column) -> Column:
+        absolute = u.rlike("(?i)^(?:https?|ftp)://")
+        return F.struct(F.when(absolute, u).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(folder, u)).alias("url"), (~absolute).alias("relative"))
+
+    return F.transform(F.filter(embedded_urls(html), lambda u: u.rlike("(?i)^(?:https?|ftp)://") | ~u.contains("://")), link)
+
+
+def plain_urls(text: Column) -> Column:
+    """Absolute urls that stand in a text, quoted or not, without the punctuation that ends them; repeats kept."""
+    return F.regexp_extract_all(text, F.lit("(?i)((?:https?|ftp)://[^ \\t\\r\\n\"'<>]*[^ \\t\\r\\n\"'<>.,;:!?)\\]])"), F.lit(1))
+
+
+def banned_links(links: DataFrame, ids: list[str], url: str, items: DataFrame) -> DataFrame:
+    """(ids, list_name, item, category) of links on the banned site list, else on the banned url list.
+
+    Items of categories for advertisements ("ADs") don't count. ids must tell links apart.
+    """
+    from sieveline.functions.logfields import site_key
+
+    of = lambda hits, name: hits.select(*ids, F.lit(name).alias("list_name"), "item", "category")
+    rules = lambda name: items.filter(F.col("list_name") == name)
+    sites = of(site_hits(links, ids, site_key(F.col(url)), rules("bannedsite")), "bannedsite")
+    urls = of(url_hits(links, ids, U.list_key(F.col(url)), rules("bannedurl")), "bannedurl")
+    both = sites.unionByName(urls).filter(~F.coalesce(F.col("category").contains("ADs"), F.lit(False)))
+    return _first(both, ids, ["list_name"], ["list_name", "item", "category"])
+
+
 def deep_urls(url: Column) -> Column:
     """Urls within a url: what follows each ":" after the protocol, without leading ":" and "/"."""
     from sieveline.functions.text import after, percent_decode

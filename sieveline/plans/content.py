@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
 from sieveline.operators import phrases as P
-from sieveline.operators.match import embedded_urls, site_hits
+from sieveline.operators.match import banned_links, embedded_urls, page_links, plain_urls, site_hits
 from sieveline.functions.logfields import site_key
 from sieveline.plans import inline as I
 from sieveline.plans.registry import QuerySet
@@ -240,8 +240,21 @@ def a07_embedded_urls(spark, d):
  b AS (SELECT doc_id, host, item, category, row_number() OVER (PARTITION BY doc_id, host ORDER BY i) AS rn FROM s JOIN r ON item = suffix)
  SELECT doc_id, host, item FROM b WHERE rn = 1""")
 def j14_embedded_sites(spark, d):
-    """Banned sites among the urls that a document's text names."""
+    """Banned sites among the hosts that a document's text names; j14_embedded_hits looks whole urls up."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit("(?i)(https?://[a-z0-9.-]+)"), F.lit(1)))
     links = _documents(spark, d).select("doc_id", F.explode(names).alias("u")).select("doc_id", site_key(F.col("u")).alias("host")).distinct()
     rules = table(spark, d, "rules_item").filter("list_name = 'bannedsite'")
     return site_hits(links, ["doc_id", "host"], F.col("host"), rules).select("doc_id", "host", "item")
+
+
+def _base() -> Column:
+    return F.concat(F.lit("http://"), F.col("site"), F.lit("/"))
+
+
+@Q.add("j14_embedded_hits")
+def j14_embedded_hits(spark, d):
+    """Urls of a document, linked or in its text, that the banned site list or else the banned url list holds."""
+    linked = F.transform(page_links(F.col("text"), _base()), lambda x: x["url"])
+    urls = F.array_distinct(F.concat(linked, plain_urls(F.col("text"))))
+    links = table(spark, d, "documents").select("doc_id", F.explode_outer(urls).alias("url")).filter("url IS NOT NULL")
+    return banned_links(links, ["doc_id", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")

@@ -20,3 +20,31 @@ def test_category_ids_of_packed_encoded_and_quoted_fields(spark, tmp_path):
     fields = ["Games", "Games, Ads|none", "Games%2CAds", '"Games, all";Ads', "N/A", "-", None]
     d = folder(tmp_path, deny_redirects={"block_id": list(range(7)), "categories": fields}, category_names={"cat_id": pa.array([1, 2, 3, 9], pa.int32()), "category": ["Games", "Ads", "Games, all", "Ads"]})
     assert rows(entry.queries()["j16_category_ids"](spark, d)) == [(0, 1, 1), (1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 3), (3, 2, 2)]
+
+
+RULES = [
+    ("bannedsite", "bad.example", "Bad"), ("bannedsite", "shop.example", "ADs"), ("bannedurl", "mixed.example/bad", "Bad"), ("bannedurl", "own.example/x", None),
+    ("greysite", "grey.bad.example", None), ("exceptionurl", "bad.example/fine", None),
+]
+
+
+def rules():
+    return dict(zip(("list_name", "item", "category"), map(list, zip(*RULES))))
+
+
+PAGES = [
+    'see http://mixed.example/bad/page. and ftp://files.bad.example/a', '<a href="http://u:p@bad.example/"> <a href="/x/y"> http://mixed.example/good', '"http://shop.example/" <img src="x/z">',
+    '"http://bad.example/1" "http://bad.example/2"', None,
+]
+
+
+def pages(tmp_path):
+    return folder(tmp_path, documents={"doc_id": list(range(5)), "text": PAGES, "site": ["a.example", "own.example", "own.example", None, "a.example"]}, rules_item=rules())
+
+
+def test_embedded_hits_of_paths_logins_ftp_and_relative_links_without_ads(spark, tmp_path):
+    got = rows(entry.queries()["j14_embedded_hits"](spark, pages(tmp_path)))
+    assert got == [
+        (0, "ftp://files.bad.example/a", "bannedsite", "bad.example"), (0, "http://mixed.example/bad/page", "bannedurl", "mixed.example/bad"), (1, "http://own.example/x/y", "bannedurl", "own.example/x"),
+        (1, "http://u:p@bad.example/", "bannedsite", "bad.example"), (2, "http://own.example/x/z", "bannedurl", "own.example/x"), (3, "http://bad.example/1", "bannedsite", "bad.example"), (3, "http://bad.example/2", "bannedsite", "bad.example"),
+    ]
