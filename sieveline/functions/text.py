@@ -71,6 +71,12 @@ def passes(c: Column, mode: int = 2, preserve_case: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("pass"), t.alias("text")) for n, t in out])
 
 
+def pass_names(mode: int = 2, preserve_case: int = 0) -> list[str]:
+    """Names of the passes that `passes` gives."""
+    kinds = {0: ["raw"], 1: ["smart"], 2: ["raw", "smart"], 3: ["meta"]}[mode]
+    return [f"{name}_{kind}" for name in {0: ["folded"], 1: ["kept"], 2: ["folded", "kept"]}[preserve_case] for kind in kinds]
+
+
 def after(c: Column, mark: str) -> Column:
     """What follows the first mark; "" where it is missing."""
     at = F.locate(mark, c)

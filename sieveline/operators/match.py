@@ -189,6 +189,38 @@ def banned_links(links: DataFrame, ids: list[str], url: str, items: DataFrame) -
     return _first(both, ids, ["list_name"], ["list_name", "item", "category"])
 
 
+def link_weights(pages: DataFrame, id_col: str, html: Column, base: Column, items: DataFrame, weight: int, mode: int = 1) -> DataFrame:
+    """(id, weight, label) of pages with banned links: the weight for each, in mode 2 for each different item.
+
+    Absolute and relative links are told apart in mode 2. label: the items in brackets, in order.
+    """
+    links = pages.select(id_col, F.posexplode_outer(page_links(html, base)).alias("place", "l")).select(id_col, "place", "l.url", "l.relative").filter("url IS NOT NULL")
+    hits = banned_links(links, [id_col, "place", "relative"], "url", items).select(id_col, "place", "relative", "item")
+    if mode == 2:
+        hits = hits.groupBy(id_col, "relative", "item").agg(F.min("place").alias("place"))
+    each = F.array_sort(F.collect_list(F.struct("place", "item")))
+    return hits.groupBy(id_col).agg((F.count(F.lit(1)) * weight).alias("weight"), F.concat(F.lit("["), F.array_join(F.transform(each, lambda x: x["item"]), " "), F.lit("]")).alias("label"))
+
+
+def deep_hits(requests: DataFrame, id_col: str, url: Column, items: DataFrame) -> DataFrame:
+    """(id, pos, deep, list_name, item) of the first url within each url that is banned, by its site, else its url.
+
+    Urls on an exception or grey list, of sites or urls, are passed over.
+    """
+    from sieveline.functions.logfields import site_key
+
+    deep = requests.select(id_col, F.posexplode_outer(deep_urls(url)).alias("pos", "deep")).filter("deep IS NOT NULL")
+    ids = [id_col, "pos", "deep"]
+    keyed = {"site": site_keys(deep, ids, site_key(F.concat(F.lit("http://"), "deep"))), "url": url_keys(deep, ids, U.list_key(F.col("deep")))}
+    found = []
+    for kind, keys in keyed.items():
+        rules = items.filter(F.col("list_name").isin(f"banned{kind}", f"grey{kind}", f"exception{kind}")).groupBy("list_name", F.lower(F.trim("item")).alias("item")).agg(F.lit(0).alias("__one"))
+        found.append(keys.select(*ids, F.posexplode_outer("__keys").alias("__at", "item")).join(rules.drop("__one"), "item").select(*ids, "list_name", "__at", "item"))
+    free = ~F.col("list_name").startswith("banned")
+    each = found[0].unionByName(found[1]).groupBy(*ids).agg(F.max(free).alias("__free"), F.min(F.when(~free, F.struct("list_name", "__at", "item"))).alias("b")).filter("NOT __free")
+    return each.groupBy(id_col).agg(F.min(F.struct("pos", "deep", "b")).alias("f")).select(id_col, "f.pos", "f.deep", "f.b.list_name", "f.b.item")
+
+
 def deep_urls(url: Column) -> Column:
     """Urls within a url: what follows each ":" after the protocol, without leading ":" and "/"."""
     from sieveline.functions.text import after, percent_decode

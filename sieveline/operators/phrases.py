@@ -16,6 +16,9 @@ from sieveline.sources.lists import BANNED, EXCEPTION, WEIGHTED, PhraseBase
 #: Up to so many phrases are searched for by built-in functions, more by an automaton.
 FEW = 4
 
+#: Category of scores of embedded urls.
+EMBEDDED = "Embedded URLs"
+
 OUTCOMES = ("combination exception", "exception", "banned combination", "banned", "weighted", "clean")
 
 
@@ -149,14 +152,18 @@ def verdicts(found: DataFrame, keys: list[str], limit: int, threshold: int = 0)
     return each.select(*keys, "score", outcome.alias("outcome"), reason.alias("reason"), _names(scored, threshold).alias("categories"))
 
 
-def score_texts(df: DataFrame, id_col: str, text: str, base: PhraseBase, limit: int, mode: int = 1, filter_mode: int = 2, preserve_case: int = 0, threshold: int = 0) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str, text: str, base: PhraseBase, limit: int, mode: int = 1, filter_mode: int = 2, preserve_case: int = 0, threshold: int = 0, links: DataFrame | None = None) -> DataFrame:
     """(id, outcome, score, reason, categories) of every row, by the strictest of its passes.
 
     The passes are raw and stripped texts; each is judged against the limit on its own. A row without hits is
-    clean with score 0. Null texts are clean.
+    clean with score 0. Null texts are clean. links: (id, weight, label) of embedded urls, as link_weights gives
+    them; they add to the score of every pass.
     """
     parts = df.select(id_col, F.inline(X.passes(F.col(text), filter_mode, preserve_case)))
     found = contributions(phrase_hits(parts, [id_col, "pass"], "text", base.needles()), [id_col, "pass"], base, mode, by=[id_col])
+    if links is not None:
+        names = F.array(*[F.lit(n) for n in X.pass_names(filter_mode, preserve_case)])
+        found = found.unionByName(links.select(id_col, F.explode(names).alias("pass"), "label", F.lit(WEIGHTED).alias("kind"), F.lit(False).alias("is_combi"), F.col("weight").cast("long").alias("weight"), F.lit(EMBEDDED).alias("category")))
     each = verdicts(found, [id_col, "pass"], limit, threshold)
     rank = F.array_position(F.array(*[F.lit(x) for x in OUTCOMES]), F.col("outcome"))
     best = each.groupBy(id_col).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
 from sieveline.operators import phrases as P
-from sieveline.operators.match import banned_links, embedded_urls, page_links, plain_urls, site_hits
+from sieveline.operators.match import banned_links, embedded_urls, link_weights, page_links, plain_urls, site_hits
 from sieveline.functions.logfields import site_key
 from sieveline.plans import inline as I
 from sieveline.plans.registry import QuerySet
@@ -227,7 +227,7 @@ def sf12_rewrite(spark, d):
 
 @Q.add("a07_embedded_urls", """SELECT doc_id, len(regexp_extract_all('<a href="' || coalesce(site, 'none') || '/x"> "http://' || coalesce(site, 'none') || '/"' || coalesce(text, ''), '(?i)["'']((?:https?|ftp)://[^"'']*)["'']', 1)) AS n FROM documents WHERE text IS NOT NULL""")
 def a07_embedded_urls(spark, d):
-    """Absolute urls in quotes, counted in pages that link the document's site."""
+    """Absolute urls in quotes, counted in pages that link the document's site; a07_embedded_weight weighs the banned ones."""
     site = F.coalesce("site", F.lit("none"))
     page = F.concat(F.lit('<a href="'), site, F.lit('/x"> "http://'), site, F.lit('/"'), F.coalesce("text", F.lit("")))
     urls = F.filter(embedded_urls(page), lambda u: u.rlike("(?i)^(?:https?|ftp)://"))
@@ -258,3 +258,11 @@ def j14_embedded_hits(spark, d):
     urls = F.array_distinct(F.concat(linked, plain_urls(F.col("text"))))
     links = table(spark, d, "documents").select("doc_id", F.explode_outer(urls).alias("url")).filter("url IS NOT NULL")
     return banned_links(links, ["doc_id", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")
+
+
+@Q.add("a07_embedded_weight")
+def a07_embedded_weight(spark, d):
+    """Outcome and score of documents, banned links weighing 10 each."""
+    df = table(spark, d, "documents")
+    links = link_weights(df, "doc_id", F.col("text"), _base(), table(spark, d, "rules_item"), 10)
+    return P.score_texts(df, "doc_id", "text", I.phrase_base(), LIMIT, links=links).join(links.select("doc_id", "weight"), "doc_id", "left").select("doc_id", "outcome", "score", F.coalesce("weight", F.lit(0)).alias("weight"))

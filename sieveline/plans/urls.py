@@ -215,10 +215,16 @@ _DEEP_OUT = [(1, "b.example/y"), (3, "c.example/&v=ftp://d.example/z"), (3, "d.e
 
 @Q.add("j15_deep_urls", f"SELECT id, deep FROM {I.values_sql(_DEEP_OUT, 'id, deep')}")
 def j15_deep_urls(spark, d):
-    """Urls within urls."""
+    """Urls within urls; j15_deep_hits looks those of the log up."""
     return I.inline(spark, _DEEP, "id int, url string").select("id", F.explode(M.deep_urls(F.col("url"))).alias("deep"))
 
 
+@Q.add("j15_deep_hits")
+def j15_deep_hits(spark, d):
+    """Requests with a banned url within their url, and the first of them."""
+    return M.deep_hits(_urls(spark, d), "log_id", F.col("url"), table(spark, d, "rules_item"))
+
+
 def _ip_list(n: str) -> str:
     return f"(SELECT DISTINCT log_id FROM {_IPS} JOIN rules_ip r ON r.list_name = '{n}' AND r.kind <> 'host' AND n BETWEEN lo AND hi UNION SELECT log_id FROM {_ONCE} a JOIN rules_ip r ON r.list_name = '{n}' AND r.kind = 'host' AND lower(a.client_host) = lower(r.host))"
 

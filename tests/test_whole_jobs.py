@@ -48,3 +48,21 @@ def test_embedded_hits_of_paths_logins_ftp_and_relative_links_without_ads(spark,
         (0, "ftp://files.bad.example/a", "bannedsite", "bad.example"), (0, "http://mixed.example/bad/page", "bannedurl", "mixed.example/bad"), (1, "http://own.example/x/y", "bannedurl", "own.example/x"),
         (1, "http://u:p@bad.example/", "bannedsite", "bad.example"), (2, "http://own.example/x/z", "bannedurl", "own.example/x"), (3, "http://bad.example/1", "bannedsite", "bad.example"), (3, "http://bad.example/2", "bannedsite", "bad.example"),
     ]
+
+
+def test_embedded_urls_weigh_and_count_once_in_mode_2(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators.match import link_weights
+
+    d = pages(tmp_path)
+    assert [(r[0], r[2], r[3]) for r in rows(entry.queries()["a07_embedded_weight"](spark, d))] == [(0, 0, 0), (1, 20, 20), (2, 10, 10), (3, 20, 20), (4, 0, 0)]
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    got = rows(link_weights(df, "doc_id", F.col("text"), F.lit("http://own.example"), spark.read.parquet(f"{d}/rules_item.parquet"), 10, 2))
+    assert got == [(1, 20, "[bad.example own.example/x]"), (2, 10, "[own.example/x]"), (3, 10, "[bad.example]")]
+
+
+def test_deep_hits_pass_over_exceptions_and_grey_sites(spark, tmp_path):
+    urls = ["http://h.example/?u=http://bad.example/", "http://h.example/?u=http%3A%2F%2Fmixed.example%2Fbad", "http://h.example/?u=http://grey.bad.example/", "http://h.example/?u=http://bad.example/fine", "http://bad.example/", None]
+    d = folder(tmp_path, access_log={"log_id": list(range(6)), "url": urls}, rules_item=rules())
+    assert rows(entry.queries()["j15_deep_hits"](spark, d)) == [(0, 0, "bad.example/", "bannedsite", "bad.example"), (1, 0, "mixed.example/bad", "bannedurl", "mixed.example/bad")]
