@@ -66,3 +66,19 @@ def test_deep_hits_pass_over_exceptions_and_grey_sites(spark, tmp_path):
     urls = ["http://h.example/?u=http://bad.example/", "http://h.example/?u=http%3A%2F%2Fmixed.example%2Fbad", "http://h.example/?u=http://grey.bad.example/", "http://h.example/?u=http://bad.example/fine", "http://bad.example/", None]
     d = folder(tmp_path, access_log={"log_id": list(range(6)), "url": urls}, rules_item=rules())
     assert rows(entry.queries()["j15_deep_hits"](spark, d)) == [(0, 0, "bad.example/", "bannedsite", "bad.example"), (1, 0, "mixed.example/bad", "bannedurl", "mixed.example/bad")]
+
+
+def test_content_filter_goes_through_all_stages(spark):
+    from sieveline.operators.contentfilter import content_filter
+    from sieveline.sources.config import MainOptions
+    from sieveline.sources.lists import BANNED, EXCEPTION, WEIGHTED, Phrase, PhraseBase
+
+    base = PhraseBase([Phrase(("bad",), BANNED), Phrase(("win",), WEIGHTED, 30), Phrase(("fine",), EXCEPTION)])
+    big = "x" * 3000
+    texts = ["", None, "virus", big + "virus", big + "bad", "bad", "win win", "fine bad swap", "swap", "swap win", "win", big]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    run = lambda o: [r[1] for r in rows(content_filter(df, "id", "t", base, 50, (("virus", "V"),), [("swap", "new")], o).select("id", "stage"))]
+    some = ["banned", "banned", "exception", "rewritten", "rewritten", "checked"]
+    assert run(MainOptions(maxcontentfiltersize=2)) == ["passed", "passed", "infected", "infected", "passed", *some, "passed"]
+    assert run(MainOptions()) == ["passed", "passed", "infected", "infected", "banned", *some, "checked"]
+    assert run(MainOptions(maxcontentfiltersize=2, maxcontentramcachescansize=2, maxcontentfilecachescansize=2))[3] == "passed"
