@@ -1,7 +1,9 @@
 """List files: items, phrases, regular expressions, addresses, groups, rooms, messages and labels.
 
 Item lists can be large and are parsed where they lie; the other files are small by nature and are read on
-the driver as whole texts. Included files are read relative to the file that names them.
+the driver as whole texts, up to DRIVER_BYTES. Where a path is a folder, its files are one list in order of their
+names. Included files are read relative to the file that names them. Nothing is left out in silence: what is
+beyond a bound raises ListError, and only a path that doesn't exist counts as missing.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +26,40 @@ ITEM_SCHEMA = f"list string, item string, category string, tl {LIMIT}"
 FLAGS = ("**", "*ip", "**s", "*ips")
 #: A phrase has at most so many characters.
 LONGEST = 126
-#: Bytes that a file read on the driver may have.
+#: Bytes that a list read on the driver may have; a longer one raises ListError.
 DRIVER_BYTES = 64 << 20
+#: Marker lines (categories, time limits, includes, flags) that an item list may have; more raise ListError.
+MARKS = 100_000
 
 
 class ListError(ValueError):
     """A list file that can't be read as one."""
 
 
+class MissingList(ListError):
+    """A path that doesn't exist."""
+
+
+def _texts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, text) of the small files at a path, by name; from any file system that Spark reads."""
+    try:
+        found = spark.read.format("binaryFile").load(path)
+        # the lengths are read first, without the contents
+        total = sum(r[0] for r in found.select("length").collect())
+        if total > DRIVER_BYTES:
+            raise ListError(f"{path} has {total} bytes, more than the {DRIVER_BYTES} that are read on the driver")
+        rows = found.select("path", "content").collect()
+    except AnalysisException as e:
+        raise (MissingList if "PATH_NOT_FOUND" in str(e) else ListError)(f"{path} can't be read: {e}") from e
+    return sorted((r[0], bytes(r[1]).decode("utf-8", errors="replace").replace("\r\n", "\n")) for r in rows)
+
+
 def lines(spark: SparkSession, path: str) -> list[str]:
-    """Lines of a small file, from any file system that Spark reads."""
-    rows = spark.read.format("binaryFile").load(path).filter(F.col("length") <= DRIVER_BYTES).select("content").collect()
-    if not rows:
-        raise ListError(f"{path} is missing or above {DRIVER_BYTES} bytes")
-    return bytes(rows[0][0]).decode("utf-8", errors="replace").replace("\r\n", "\n").split("\n")
+    """Lines of a small list: of one file, or of all files of a folder in order of their names.
+
+    A path that doesn't exist raises MissingList, more than DRIVER_BYTES raise ListError.
+    """
+    return [line for _, text in _texts(spark, path) for line in text.removesuffix("\n").split("\n")]
 
 
 def _beside(path: str, name: str) -> str:
@@ -69,15 +92,18 @@ def read_items(spark: SparkSession, path: str, name: str, strip_port: bool = Fal
     Lines under two characters and comments are skipped; what follows " #" or "#" is a comment but for "(?#".
     A final "/" and a leading ftp:// are dropped, items are lowered unless keep_case (regular expressions).
     An included list keeps its own category and time limit. A blank category is null. Missing files raise
-    ListError unless ignore_missing.
+    MissingList unless ignore_missing; more than MARKS marker lines raise ListError.
     """
     try:
         text = spark.read.text(path)
-        marks = [r[0] for r in text.filter(F.col("value").rlike(r"^(?:#listcategory:|#time:|\.Include<)") | F.trim("value").isin(*FLAGS)).limit(100_000).collect()]
-    except Exception as e:
-        if ignore_missing and "PATH_NOT_FOUND" in str(e):
+        marks = [r[0] for r in text.filter(F.col("value").rlike(r"^(?:#listcategory:|#time:|\.Include<)") | F.trim("value").isin(*FLAGS)).limit(MARKS + 1).collect()]
+    except AnalysisException as e:
+        missing = "PATH_NOT_FOUND" in str(e)
+        if ignore_missing and missing:
             return spark.createDataFrame([], ITEM_SCHEMA), []
-        raise ListError(f"{path} can't be read: {e}") from e
+        raise (MissingList if missing else ListError)(f"{path} can't be read: {e}") from e
+    if len(marks) > MARKS:
+        raise ListError(f"{path} has more than {MARKS} marker lines")
     category, limit, flags, includes = None, None, [], []
     for line in marks:
         if m := _CATEGORY.match(line):
@@ -171,15 +197,16 @@ def parse_phrase(line: str, exception: bool, category: str | None = None, tl: tu
 def read_phrases(spark: SparkSession, path: str, exception: bool = False, category: str | None = None, tl: tuple | None = None, base: PhraseBase | None = None, ignore_missing: bool = False) -> PhraseBase:
     """A phrase list added to a base. Included files inherit category and time limit and may set their own.
 
-    Lines are lowered up to a #noconvert. Missing files raise ListError unless ignore_missing.
+    Lines are lowered up to a #noconvert. Missing files raise MissingList unless ignore_missing. A list beyond
+    DRIVER_BYTES raises ListError: phrases are searched by an automaton that each worker holds.
     """
     base = PhraseBase() if base is None else base
     try:
         rows = lines(spark, path)
-    except Exception as e:
+    except MissingList:
         if ignore_missing:
             return base
-        raise ListError(f"{path} can't be read: {e}") from e
+        raise
     lower = True
     for line in rows:
         if m := _CATEGORY.match(line):
@@ -293,8 +320,8 @@ def read_user_groups(spark: SparkSession, path: str) -> DataFrame:
 def read_rooms(spark: SparkSession, folder: str) -> DataFrame:
     """Every file of a folder: its first line is #name, the rest an address list. Files in order of their names."""
     rows = []
-    for r in spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("f")).orderBy("f").collect():
-        first, *rest = r["value"].split("\n")
+    for _, text in _texts(spark, folder):
+        first, *rest = text.split("\n")
         if first.startswith("#"):
             rows += [("rooms", *parse_ip(x), None, first[1:].strip()) for x in _ip_lines(rest)]
     return spark.createDataFrame(rows, IP_SCHEMA)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -108,7 +107,12 @@ def once(stream: DataFrame, id_col: str, t: str, late: str = "7 days") -> DataFr
 
 
 class Rules:
-    """Rule tables that are read again when a file's time of change has changed."""
+    """Rule tables that are read again when a file's time of change has changed.
+
+    Times are asked of the file system that a path names, so lists in HDFS or an object store are seen too; that
+    of a folder is the latest of its own and its files'. A path that isn't there has none, and appears later as
+    a change.
+    """
 
     def __init__(self, paths: list[str], load: Callable[[SparkSession], dict[str, DataFrame]]) -> None:
         self.paths, self.load = paths, load
@@ -116,11 +120,22 @@ class Rules:
         self.tables: dict[str, DataFrame] = {}
         self.loads = 0
 
-    def _times(self) -> tuple:
-        return tuple(os.stat(p).st_mtime_ns if os.path.exists(p) else 0 for p in self.paths)
+    def _times(self, spark: SparkSession) -> tuple:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        out = []
+        for p in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            fs = at.getFileSystem(conf)
+            if not fs.exists(at):
+                out.append(None)
+                continue
+            own = fs.getFileStatus(at)
+            files = fs.listStatus(at) if own.isDirectory() else []
+            out.append((max([own.getModificationTime(), *(f.getModificationTime() for f in files)]), len(files), own.getLen()))
+        return tuple(out)
 
     def now(self, spark: SparkSession) -> dict[str, DataFrame]:
-        times = self._times()
+        times = self._times(spark)
         if times != self.times:
             self.tables, self.times = self.load(spark), times
             self.loads += 1

@@ -33,3 +33,12 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_core_queries_stay_where_a_library_is_missing():
+    """Queries of subpackages that can't be imported are left out, the others are there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p5_found' in q and 'p6_ids' not in q and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))

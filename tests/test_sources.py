@@ -131,3 +131,50 @@ def test_inflate(spark):
     rows = [(gzip.compress(raw), "gzip", raw), (zlib.compress(raw), "deflate", raw), (deflated.compress(raw) + deflated.flush(), "deflate", raw), (raw, None, raw), (b"broken", "gzip", None), (None, "gzip", None)]
     got = spark.createDataFrame([r[:2] for r in rows], "b binary, e string").select(H.inflate("b", "e").alias("o")).collect()
     assert [r["o"] and bytes(r["o"]) for r in got] == [r[2] for r in rows]
+
+
+def test_lists_of_several_files_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "list"
+    folder.mkdir()
+    write(folder / "a", "<one>\n")
+    write(folder / "b", "<two>\n<three>")
+    assert [p.parts[0] for p in S.read_phrases(spark, str(folder)).phrases] == ["one", "two", "three"]
+    assert S.lines(spark, str(folder)) == ["<one>", "<two>", "<three>"]
+    assert {r["item"] for r in S.read_items(spark, str(folder), "x")[0].collect()} == {"<one>", "<two>", "<three>"}
+
+
+def test_lists_beyond_a_bound_raise(spark, tmp_path, monkeypatch):
+    big = write(tmp_path / "big", "# " + "x" * (65 << 20) + "\n<lost>\n")
+    with pytest.raises(S.ListError, match="bytes"):
+        S.read_phrases(spark, big, ignore_missing=True)
+    with pytest.raises(S.ListError, match="bytes"):
+        S.read_rooms(spark, big)
+    marks = write(tmp_path / "marks", "#time: 1 0 2 0 0\n" * 100_001 + "item.example\n")
+    with pytest.raises(S.ListError, match="marker"):
+        S.read_items(spark, marks, "x", ignore_missing=True)
+    monkeypatch.setattr(S, "MARKS", 200_000)
+    assert S.read_items(spark, marks, "x")[0].count() == 1
+
+
+def test_unreadable_lists_are_not_missing_ones(spark, tmp_path):
+    write(tmp_path / "bad", ".Include<s3-nowhere://x/y>\n")
+    with pytest.raises(Exception) as e:
+        S.read_phrases(spark, str(tmp_path / "bad"), ignore_missing=True)
+    assert not isinstance(e.value, S.MissingList)
+
+
+def test_rules_are_read_again_when_their_file_changes(spark, tmp_path):
+    import os
+
+    from sieveline.streaming.streams import Rules
+
+    path = tmp_path / "rules"
+    rules = Rules([f"file://{path}", str(tmp_path / "late")], lambda s: {"items": s.read.text(str(path))})
+    write(path, "a\n")
+    assert rules.now(spark)["items"].count() == 1 and rules.now(spark) and rules.loads == 1
+    write(path, "a\nb\n")
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    assert rules.now(spark)["items"].count() == 2 and rules.loads == 2
+    write(tmp_path / "late", "x\n")
+    rules.now(spark)
+    assert rules.loads == 3
