@@ -20,10 +20,17 @@ from pyspark.sql import types as T
 
 #: A key is large from this share of a task's mean load on; a shard holds at most this share.
 LARGE = 0.25
-#: Keys that each input partition's load summary holds at most.
+#: How far below its true load a key of that share may be estimated, as a share of that load.
+SHORT = 0.25
+#: Keys that each input partition's load summary holds at least.
 SUMMARY = 4096
 
 
+def summary_size(n_tasks: int) -> int:
+    """Keys of a load summary: so many that a key of LARGE of a task's mean load is short of it by SHORT at most."""
+    return max(SUMMARY, int(-(-n_tasks // (LARGE * SHORT))))
+
+
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -33,8 +40,8 @@ def key_loads(df: DataFrame, keys: list[str], summary: int = SUMMARY) -> DataFra
 
     Each input partition keeps a frequent-items summary of at most `summary` keys: when it grows beyond that,
     all counts are lowered by that of the first key too many. An estimate is therefore short of the truth by
-    at most a partition's rows / summary in each partition, and only keys rarer than that can be missing.
-    A null is a key like others.
+    at most a partition's rows / summary in each partition, all rows / summary together, and only keys rarer
+    than that can be missing. A null is a key like others.
     """
     names = [f"k{i}" for i in range(len(keys))]
     fields = [T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)]
@@ -85,16 +92,17 @@ def pack(loads: list[int], total: int, n_tasks: int) -> list[list[int]]:
     return tasks
 
 
-def load_plan(df: DataFrame, keys: list[str], n_tasks: int, summary: int = SUMMARY) -> DataFrame:
+def load_plan(df: DataFrame, keys: list[str], n_tasks: int, summary: int | None = None) -> DataFrame:
     """k0, k1 ... and `tasks`, the task of each shard, for every large key.
 
-    A key is large from LARGE of a task's mean load on, so there are at most n_tasks / LARGE of them: the plan
-    is small whatever the data, which is what makes its packing in one task and its broadcast safe.
+    A key is large from LARGE of a task's mean load on. By summary_size its estimate is at least 1 - SHORT of
+    that, which is where the line is drawn, so none is missed: there are at most n_tasks / (LARGE (1 - SHORT))
+    large keys. The plan is small whatever the data, which makes its packing in one task and its broadcast safe.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    loads = key_loads(df, keys, summary)
+    loads = key_loads(df, keys, summary or summary_size(n_tasks))
     total = loads.filter("is_total").agg(F.sum("load")).scalar()
-    large = loads.filter((~F.col("is_total")) & (F.col("load") >= F.lit(LARGE / n_tasks) * total)).withColumn("total", total)
+    large = loads.filter((~F.col("is_total")) & (F.col("load") >= F.lit(LARGE * (1 - SHORT) / n_tasks) * total)).withColumn("total", total)
     schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)] + [T.StructField("tasks", T.ArrayType(T.IntegerType()))])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,32 +114,28 @@ def load_plan(df: DataFrame, keys: list[str], n_tasks: int, summary: int = SUMMA
     return large.repartition(1).mapInPandas(run, schema)
 
 
-def _on_plan(df: DataFrame, keys: list[str], plan: DataFrame) -> DataFrame:
+def _on_plan(df: DataFrame, keys: list[str], plan: DataFrame, n_tasks: int) -> DataFrame:
+    """df with __tasks, the task of each shard of its key: for a key that isn't large the task of the key's hash."""
     on = None
     for i, k in enumerate(keys):
         same = _col(k).eqNullSafe(F.col(f"__k{i}"))
         on = same if on is None else on & same
-    named = plan.select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("tasks").alias("__tasks"))
-    return df.join(F.broadcast(named), on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    named = plan.select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("tasks").alias("__planned"))
+    own = F.array(F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(n_tasks)).cast("int"))
+    joined = df.join(F.broadcast(named), on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    return joined.withColumn("__tasks", F.coalesce("__planned", own)).drop("__planned")
 
 
 def fragment(df: DataFrame, keys: list[str], plan: DataFrame, n_tasks: int, spread: list[str] | None = None) -> DataFrame:
-    """df with __shard, each row placed in its shard's task.
+    """df with __shard and __task, each row placed in its shard's task.
 
     Rows of a large key go to its shards by the hash of the `spread` columns (all columns by default); other
-    rows go to the task of their key's hash, as shard 0.
+    rows go to the task of their key's hash, as shard 0. What is grouped or joined by columns that include
+    __task needs no further shuffle.
     """
     by = F.xxhash64(*[_col(c) for c in spread or df.columns])
-    placed = (
-        _on_plan(df, keys, plan)
-        .withColumn("__shard", F.when(F.col("__tasks").isNull(), F.lit(0)).otherwise(F.pmod(by, F.size("__tasks"))).cast("int"))
-        .withColumn(
-            "__task",
-            F.coalesce(F.try_element_at("__tasks", F.col("__shard") + 1), F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(n_tasks)).cast("int")),
-        )
-        .drop("__tasks")
-    )
-    return placed.repartitionById(n_tasks, "__task").drop("__task")
+    placed = _on_plan(df, keys, plan, n_tasks).withColumn("__shard", F.pmod(by, F.size("__tasks")).cast("int"))
+    return placed.withColumn("__task", F.get("__tasks", F.col("__shard"))).drop("__tasks").repartitionById(n_tasks, "__task")
 
 
 def balanced_aggregate(df: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], n_tasks: int | None = None, spread: list[str] | None = None) -> DataFrame:
@@ -145,7 +149,7 @@ def balanced_aggregate(df: DataFrame, keys: list[str], partial: dict[str, Column
     n = n_tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = fragment(df, keys, load_plan(df, keys, n), n, spread)
     by = [_col(k) for k in keys]
-    return parts.groupBy(*by, "__shard").agg(*[c.alias(k) for k, c in partial.items()]).groupBy(*by).agg(*[c.alias(k) for k, c in final.items()])
+    return parts.groupBy(*by, "__shard", "__task").agg(*[c.alias(k) for k, c in partial.items()]).groupBy(*by).agg(*[c.alias(k) for k, c in final.items()])
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n_tasks: int | None = None, spread: list[str] | None = None) -> DataFrame:
@@ -153,7 +157,7 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 
     how: inner, left, left_semi or left_anti (in the others a replicated row could come out more than once).
     Null keys match nothing. Columns of the right that the left has too, other than keys, raise ValueError for
-    inner and left.
+    inner and left. Both sides are placed by the plan, and the join takes place where they lie.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"balanced_join can't do {how}")
@@ -162,9 +166,5 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     n = n_tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = load_plan(left, keys, n)
     parts = fragment(left, keys, plan, n, spread)
-    copies = (
-        _on_plan(right, keys, plan)
-        .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.size("__tasks"), F.lit(1)) - 1)))
-        .drop("__tasks")
-    )
-    return parts.join(copies, [*keys, "__shard"], how).drop("__shard")
+    copies = _on_plan(right, keys, plan, n).select(*right.columns, F.posexplode("__tasks").alias("__shard", "__task")).repartitionById(n, "__task")
+    return parts.join(copies, [*keys, "__shard", "__task"], how).drop("__shard", "__task")

@@ -11,7 +11,7 @@ from sieveline.operators.dedupe import once_per_id
 from sieveline.operators.packed import Packing, split_packed
 from sieveline.operators.sessions import sessions
 from sieveline.plans.registry import QuerySet
-from sieveline.session import table
+from sieveline.session import cut, table
 
 Q = QuerySet()
 
@@ -64,20 +64,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(d)
 
 
-def item_totals(spark: SparkSession, sf_dir: str, sizes: bool = True) -> DataFrame:
-    """Requests and, with sizes, bytes of every site and every address of the log, by balanced fragments.
+def item_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and bytes of every site and every address of the log, by balanced fragments.
 
-    The loads and the totals are taken from one shuffle of the same columns; a caller that has no use for sizes
-    says so, since columns pruned from the totals alone would make that two.
+    The loads and the totals are taken from one shuffle of the same columns, so the log is read once.
     """
-    once = log_once(spark, sf_dir, L.site_key(F.col("url")).alias("url"), L.ip_key(F.col("ip")).alias("ip"), *(["size"] if sizes else []))
+    once = log_once(spark, sf_dir, L.site_key(F.col("url")).alias("url"), L.ip_key(F.col("ip")).alias("ip"), "size")
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("item")) for c in ("url", "ip")])
-    more = ["log_id", "size"] if sizes else ["log_id"]
-    rows = once.select(*more, F.explode(pairs).alias("p")).select("p.field", "p.item", *more).filter("item IS NOT NULL")
-    partial, final = {"n": F.count(F.lit(1))}, {"n_requests": F.sum("n")}
-    if sizes:
-        partial |= {"b": F.sum("size"), "most": F.max("size")}
-        final |= {"n_bytes": F.sum("b"), "largest": F.max("most")}
+    rows = once.select("log_id", "size", F.explode(pairs).alias("p")).select("p.field", "p.item", "log_id", "size").filter("item IS NOT NULL")
+    partial = {"n": F.count(F.lit(1)), "b": F.sum("size"), "most": F.max("size")}
+    final = {"n_requests": F.sum("n"), "n_bytes": F.sum("b"), "largest": F.max("most")}
     return balanced_aggregate(rows, ["field", "item"], partial, final, spread=["log_id"])
 
 
@@ -98,8 +94,11 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT field, item FROM t QUALIFY n >= 0.01 * sum(n) OVER (PARTITION BY field)""",
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites and addresses held by at least 1 % of the records with a value of that field."""
-    totals = item_totals(spark, sf_dir, sizes=False)
+    """Sites and addresses held by at least 1 % of the records with a value of that field.
+
+    The totals, a row for each item with its requests and bytes, are written down whole and then read twice.
+    """
+    totals = cut(item_totals(spark, sf_dir))
     sums = totals.groupBy("field").agg(F.sum("n_requests").alias("n_field"))
     # one row for each of the two fields
     return totals.join(F.broadcast(sums), "field").filter(F.col("n_requests") >= 0.01 * F.col("n_field")).select("field", "item")

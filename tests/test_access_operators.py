@@ -112,6 +112,38 @@ def test_balanced_join(spark):
         balanced_join(left, right.withColumn("v", F.lit(1)), ["k"])
 
 
+def exchanges(df):
+    """Kinds of the shuffles of a plan, with broadcasts off."""
+    import re
+
+    return re.findall(r"Exchange (\w+)\(", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_fragments_stay_where_the_plan_put_them(spark):
+    """No shuffle stands between the placement and the join or the fragments' aggregates."""
+    left = spark.createDataFrame(rows_with_hot_key(100), "k string, id long, v long")
+    right = spark.createDataFrame([("hot", "x")], "k string, w string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kinds = exchanges(balanced_join(left, right, ["k"], "left", n_tasks=5))
+        assert kinds.count("shufflepartitionidpassthrough") == 2
+        plan = balanced_join(left, right, ["k"], "left", n_tasks=5)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Join ")[1].split("Exchange ")[1].startswith("shufflepartitionidpassthrough")
+        total = balanced_aggregate(left, ["k"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, n_tasks=5)._jdf.queryExecution().executedPlan().toString()
+        last, before_it = total.split("Exchange ")[1:3]
+        assert last.startswith("hashpartitioning(k#") and "__task" not in last.split(")")[0] and before_it.startswith("shufflepartitionidpassthrough")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_as_many_large_keys_as_tasks_are_found(spark):
+    """8,000 keys of one task's mean load each, 8,000 tasks, one input partition, in the worst order."""
+    df = spark.range(8000 * 12, numPartitions=1).select((F.col("id") % 8000).alias("k"))
+    assert load_plan(df, ["k"], 8000).count() == 8000
+    assert all(len(r["tasks"]) >= 1 for r in load_plan(df, ["k"], 100).collect())
+
+
 def brute_sessions(events, gap):
     by, out = defaultdict(list), []
     for a, t in events:
