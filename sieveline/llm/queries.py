@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import logfields as L
 from sieveline.llm.bpe import count_tokens, encode_texts
 from sieveline.llm.distinct import distinct_counts, hash_runs, merge_runs
-from sieveline.llm.frequent import frequent_values
+from sieveline.llm.frequent import exact_counts, frequent_values
 from sieveline.llm.mixing import mix, mix_shares, source_key, source_rates
 from sieveline.llm.splitting import split_documents
 from sieveline.operators.packed import split_packed
@@ -19,25 +19,26 @@ from sieveline.session import cut, table
 Q = QuerySet()
 
 
-def frequent_urls(spark: SparkSession, sf_dir: str, min_share: float) -> DataFrame:
-    once = log_once(spark, sf_dir, "url")
-    return frequent_values(once.select(L.raw_value(F.col("url")).alias("url")), "url", min_share)
+def logged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_once(spark, sf_dir, "url").select(L.raw_value(F.col("url")).alias("url"))
 
 
-@Q.add(
-    "p1_found",
-    f"""WITH t AS (SELECT url, count(*) AS n FROM {_ONCE} WHERE {_TRIM('url')} NOT IN ('', '-') GROUP BY url)
- SELECT url FROM t QUALIFY n >= 0.003 * sum(n) OVER ()""",
-)
+_URLS = f"(SELECT url, count(*) AS n FROM {_ONCE} WHERE {_TRIM('url')} NOT IN ('', '-') GROUP BY url)"
+
+
+@Q.add("p1_found", f"SELECT url FROM {_URLS} QUALIFY n >= 0.003 * sum(n) OVER ()")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls held by at least 0.3 % of the records that have one."""
-    return frequent_urls(spark, sf_dir, 0.003).select(F.col("value").alias("url"))
+    return frequent_values(logged_urls(spark, sf_dir), "url", 0.003).select(F.col("value").alias("url"))
 
 
-@Q.add("p1_urls")
+@Q.add("p1_urls", f"SELECT url, n, true AS within_error FROM (SELECT url, n, CAST(sum(n) OVER () AS BIGINT) AS n_total FROM {_URLS}) WHERE n >= 0.001 * n_total")
 def p1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of at least 0.1 % with their estimates and the error bound."""
-    return frequent_urls(spark, sf_dir, 0.001)
+    """Urls of at least 0.1 %, counted exactly in a second pass, and whether their estimates keep the error bound."""
+    urls = logged_urls(spark, sf_dir)
+    n = F.col("n")
+    found = exact_counts(urls, "url", frequent_values(urls, "url", 0.001)).filter(n >= 0.001 * F.col("n_total"))
+    return found.select(F.col("value").alias("url"), "n", F.col("n_estimate").between(n, n + F.col("max_error")).alias("within_error"))
 
 
 def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import bpe
 from sieveline.llm.distinct import decode_run, distinct_counts, encode_run, hash_runs, merge_runs, union_runs
-from sieveline.llm.frequent import Sketch, frequent_values
+from sieveline.llm.frequent import Sketch, exact_counts, frequent_values
 from sieveline.llm.mixing import mix, mix_shares, source_key, source_rates
 from sieveline.llm.splitting import NONE, StrongestCut, split_documents, split_text
 
@@ -110,11 +110,36 @@ def test_frequent_values(spark):
     assert all(true[v] <= r["n_estimate"] <= true[v] + r["max_error"] and r["n_total"] == total for v, r in got.items())
     assert got["hot"]["n_estimate"] == 4000
     assert frequent_values(df.limit(0), "value", 0.1).collect() == []
-    # a narrow sketch overestimates, and still loses nothing
-    narrow = {r["value"] for r in frequent_values(df, "value", 0.01, 2, 6).collect()}
-    assert set(got) <= narrow
-    with pytest.raises(ValueError):
-        frequent_values(df, "value", 0)
+    counted = {r["value"]: r["n"] for r in exact_counts(df, "value", frequent_values(df, "value", 0.01)).collect()}
+    assert counted == {v: true[v] for v in got}
+    for share, bits in ((0, None), (0.01, 8), (1e-6, None)):
+        with pytest.raises(ValueError):
+            frequent_values(df, "value", share, width_bits=bits)
+
+
+def test_candidates_are_bounded_below_the_noise(spark):
+    """A share that a narrow sketch can't tell from noise is refused, or told with a width that holds it."""
+    df = spark.range(3_000_000, numPartitions=4).select(F.col("id").cast("string").alias("value"))
+    with pytest.raises(ValueError, match="width_bits"):
+        frequent_values(df, "value", 4e-5, width_bits=8)
+    with pytest.raises(ValueError, match="min_share"):
+        frequent_values(df, "value", 4e-6)
+    assert frequent_values(df, "value", 1e-5).count() <= 2 / 1e-5
+    from sieveline.llm.frequent import Candidates
+
+    import pyarrow as pa
+
+    heavy = Candidates(0.5)
+    with pytest.raises(RuntimeError, match="narrow"):
+        heavy.offer(pa.array(list(map(str, range(100)))), np.full(100, 60), 100)
+
+
+def test_streams_are_sketched_once(spark):
+    df = spark.range(1000).select((F.col("id") % 10).cast("string").alias("value"))
+    found = frequent_values(df, "value", 0.05)
+    assert len(found.collect()) == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
 
 
 @settings(max_examples=100, deadline=None)
