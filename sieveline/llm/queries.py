@@ -57,10 +57,12 @@ def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each log day, filter group and field, and of all groups of a day together as group -1."""
     cells = ["log_day", "filter_group", "field"]
-    counts = distinct_counts(merge_runs(day_runs(spark, sf_dir), cells, over="filter_group"), cells)
-    group = F.when(F.col("is_total"), F.lit(-1)).otherwise(F.col("filter_group"))
-    return counts.filter(F.col("is_total") | F.col("filter_group").isNotNull()).withColumn("filter_group", group)
+    runs = cut(day_runs(spark, sf_dir))  # the partial results are what is kept and joined with those of other days
+    counts = distinct_counts(merge_runs(runs, cells, over="filter_group"), cells)
+    whole = F.col("grouping_id") > 0
+    return counts.filter(whole | F.col("filter_group").isNotNull()).withColumn("filter_group", F.when(whole, F.lit(-1)).otherwise(F.col("filter_group")))
 
 
 _CELLS = f"""WITH o AS (SELECT *, {_WHEN} AS s FROM {_ONCE}),
@@ -79,9 +81,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_counts(spark, sf_dir).filter((F.col("n_values") >= 150) & (F.col("n_distinct") >= 0.35 * F.col("n_values"))).select("log_day", "filter_group", "field")
 
 
-@Q.add("p2_counts", f"{_CELLS} SELECT log_day, filter_group, field, n_values, n_distinct FROM c")
+@Q.add("p2_counts", f"""{_CELLS} SELECT log_day, filter_group, field, n_values, n_distinct, lost_expected, lost_expected / n_distinct AS lost_share
+ FROM (SELECT *, CAST(n_distinct AS DOUBLE) * (CAST(n_distinct AS DOUBLE) - 1) / 36893488147419103232.0::DOUBLE AS lost_expected FROM c)""")
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return day_counts(spark, sf_dir).select("log_day", "filter_group", "field", "n_values", "n_distinct")
+    """Every cell's count with its error: the values expected to be lost to equal hashes, and their share."""
+    return day_counts(spark, sf_dir).select("log_day", "filter_group", "field", "n_values", "n_distinct", "lost_expected", "lost_share")
+
+
+@Q.add("p2_combinations", f"""SELECT filter_group, how, cache_hit, CAST(grouping(filter_group, how, cache_hit) AS INTEGER) AS grouping_id, count(*) AS n_values, count(DISTINCT a) AS n_distinct
+ FROM (SELECT filter_group, how, cache_hit, {_IP} AS a FROM {_ONCE}) WHERE a IS NOT NULL GROUP BY CUBE (filter_group, how, cache_hit)""")
+def p2_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different addresses of each filter group, method and cache state, and of every combination of these."""
+    cells = ["filter_group", "how", "cache_hit"]
+    once = log_once(spark, sf_dir, "filter_group", "how", "cache_hit", L.ip_key(F.col("ip")).alias("a"))
+    runs = cut(hash_runs(once, cells, F.col("a")))
+    return distinct_counts(merge_runs(runs, cells, over=cells), cells).drop("lost_expected", "lost_share")
 
 
 @Q.add("p6_ids")

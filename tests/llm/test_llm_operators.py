@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveline.llm import bpe
-from sieveline.llm.distinct import decode_run, distinct_counts, encode_run, hash_runs, merge_runs, union_runs
+from sieveline.llm.distinct import as_partials, decode_run, distinct_counts, encode_run, hash_runs, merge_runs, union_runs
 from sieveline.llm.frequent import Sketch, exact_counts, frequent_values
 from sieveline.llm.mixing import mix, mix_shares, source_key, source_rates
 from sieveline.llm.splitting import NONE, StrongestCut, split_documents, split_text
@@ -151,26 +151,59 @@ def test_runs(sets):
     assert union_runs(runs).tolist() == sorted(set().union(*sets))
 
 
-def test_distinct_counts_merge(spark):
+@pytest.mark.parametrize("most", [4_000_000, 25, 1])
+def test_distinct_counts_merge(spark, most):
     rng = random.Random(2)
     rows = [(rng.choice(["d1", "d2", None]), rng.choice([0, 1, None, -1]), rng.choice([None, *map(str, range(60))])) for _ in range(1500)]
     df = spark.createDataFrame(rows, "day string, grp int, v string")
     cells = ["day", "grp"]
-    halves = [hash_runs(df.filter(f"pmod(xxhash64(v), 2) = {k}"), cells, F.col("v"), shards=4) for k in (0, 1)]
-    again = hash_runs(df, cells, F.col("v"), shards=4)  # the same values once more change only n_values
-    merged = merge_runs(merge_runs(halves[0].unionByName(halves[1]).unionByName(again), cells, keep_runs=True).drop("n_distinct", "is_total"), cells, over="grp")
-    got = {(r["day"], r["grp"], r["is_total"]): (r["n_values"], r["n_distinct"]) for r in distinct_counts(merged, cells).collect()}
+    halves = [hash_runs(df.filter(f"pmod(xxhash64(v), 2) = {k}"), cells, F.col("v")) for k in (0, 1)]
+    again = hash_runs(df, cells, F.col("v"))  # the same values once more change only n_values
+    once = merge_runs(halves[0].unionByName(halves[1]), cells, keep_runs=True, most=7)
+    merged = merge_runs(as_partials(once, cells).unionByName(again), cells, over="grp", most=most)
+    got = {(r["day"], r["grp"], r["grouping_id"]): (r["n_values"], r["n_distinct"]) for r in distinct_counts(merged, cells).collect()}
     want = defaultdict(list)
     for day, grp, v in rows:
         if v is not None:
-            want[day, grp, False].append(v)
-            want[day, None, True].append(v)
+            want[day, grp, 0].append(v)
+            want[day, None, 1].append(v)
     assert got == {k: (2 * len(v), len(set(v))) for k, v in want.items()}
     assert distinct_counts(merge_runs(hash_runs(df.limit(0), cells, F.col("v")), cells), cells).collect() == []
 
 
+@pytest.mark.parametrize("most", [4_000_000, 20])
+def test_distinct_counts_of_combinations(spark, most):
+    rng = random.Random(3)
+    rows = [(rng.choice("xy"), rng.choice([1, 2, None]), rng.choice([True, None]), str(rng.randrange(80))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a string, b int, c boolean, v string")
+    for over in (["b", "c"], ["a", "b", "c"]):
+        cells = ["a", "b", "c"]
+        got = {(r["a"], r["b"], r["c"], r["grouping_id"]): r["n_distinct"] for r in distinct_counts(merge_runs(hash_runs(df, cells, F.col("v")), cells, over, most=most), cells).collect()}
+        want = defaultdict(set)
+        for *cell, v in rows:
+            for level in range(1 << len(over)):
+                gone = {c for i, c in enumerate(over) if level >> (len(over) - 1 - i) & 1}
+                want[(*(None if c in gone else x for c, x in zip(cells, cell)), level)].add(v)
+        assert got == {k: len(v) for k, v in want.items()}
+
+
+def test_runs_follow_the_cells_and_not_the_partitions(spark):
+    """A cell below the limit is one range however many partitions there are; a larger one is cut by its size."""
+    df = spark.range(40_000, numPartitions=4).select((F.col("id") % 4).alias("c"), F.col("id").alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        runs = hash_runs(df, ["c"], F.col("v"))
+        assert {r["n_hashes"] for r in runs.collect()} == {2500}
+        assert {r["range"] for r in merge_runs(runs, ["c"]).collect()} == {0}
+        cut = merge_runs(runs, ["c"], most=1500).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["range"] for r in cut} == set(range(8)) and all(1000 < r["n_distinct"] < 1500 for r in cut)
+
+
 def test_collision_bound(spark):
-    df = spark.range(1).select(F.lit(1).alias("c"), F.lit(False).alias("is_total"), F.lit(10).alias("n_values"), F.lit(4_000_000_000).alias("n_distinct"))
+    df = spark.range(1).select(F.lit(1).alias("c"), F.lit(0).alias("grouping_id"), F.lit(10).alias("n_values"), F.lit(4_000_000_000).alias("n_distinct"))
     r = distinct_counts(df, ["c"]).first()
     assert 0.43 < r["lost_expected"] < 0.44
 
