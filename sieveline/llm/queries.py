@@ -9,8 +9,8 @@ from sieveline.functions import logfields as L
 from sieveline.llm.bpe import count_tokens, encode_texts
 from sieveline.llm.distinct import distinct_counts, hash_runs, merge_runs
 from sieveline.llm.frequent import exact_counts, frequent_values
-from sieveline.llm.mixing import mix, mix_shares, source_key, source_rates
-from sieveline.llm.splitting import split_documents
+from sieveline.llm.mixing import mix, mix_shares, mix_violations, source_key, source_rates
+from sieveline.llm.splitting import piece_violations, split_documents
 from sieveline.operators.packed import split_packed
 from sieveline.plans.access import _IP, _ONCE, _TRIM, _USER, _WHEN, LOGGED, _values_sql, log_once
 from sieveline.plans.registry import QuerySet
@@ -109,17 +109,22 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents, "text", ["doc_id", "source"])
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The selection of every mix, the rates and the documents' sizes."""
+    sizes = cut(_sizes(spark, sf_dir))  # ids and counts only; texts are encoded once
+    rates = source_rates(sizes, table(spark, sf_dir, "mix_targets"))
+    return mix(sizes, rates), rates, sizes
+
+
 @Q.add("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources too small for their target share."""
-    rates = source_rates(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    return rates.filter("is_short").select("mix_name", "source")
+    """Sources too small for their target share, by the mixes as they are drawn.
 
-
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut(_sizes(spark, sf_dir))  # ids and counts only; texts are encoded once
-    rates = source_rates(sizes, table(spark, sf_dir, "mix_targets"))
-    return mix(sizes, rates), rates
+    Such a source has given all it may, each text max_copies times, and still holds less than its target.
+    """
+    shares = mix_shares(*_mixed(spark, sf_dir)[:2])
+    spent = F.col("tokens") == F.col("source_tokens") * F.coalesce("max_copies", F.lit(0))
+    return shares.filter(F.col("is_short") & spent & (F.col("tokens") < F.col("target_tokens"))).select("mix_name", "source")
 
 
 @Q.add("p7_mix")
@@ -131,7 +136,14 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached in every mix."""
-    return mix_shares(*_mixed(spark, sf_dir))
+    return mix_shares(*_mixed(spark, sf_dir)[:2])
+
+
+@Q.add("p7_violations", "SELECT mix_name, source, CAST(NULL AS BIGINT) AS doc_id, 0 AS copies FROM mix_targets WHERE false")
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a mix uses more or less often than their rate and cap say: none."""
+    picked, rates, sizes = _mixed(spark, sf_dir)
+    return mix_violations(picked, sizes, rates)
 
 
 @Q.add("p8_found")
@@ -145,3 +157,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document that had to be split."""
     return split_documents(table(spark, sf_dir, "documents"), only_split=True)
+
+
+@Q.add("p8_violations", "SELECT doc_id, 0 AS piece, '' AS problem FROM documents WHERE false")
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that are too large, leave a gap, or overlap otherwise than they should: none."""
+    lengths = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_chars"))
+    return piece_violations(p8_pieces(spark, sf_dir), lengths)

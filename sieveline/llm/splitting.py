@@ -7,18 +7,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.bpe import VOCABULARY, Encoder, shared_encoder
+from sieveline.functions.logfields import WHITE
+from sieveline.llm.bpe import VOCABULARY, Encoder, count_tokens, shared_encoder
 
 #: Strength of a cut: after an empty line, a line, a sentence, a clause, a word, a piece of the public pattern,
 #: a token within such a piece, and within a character (never chosen).
 EMPTY_LINE, LINE, SENTENCE, CLAUSE, WORD, PIECE, TOKEN, NONE = 7, 6, 5, 4, 3, 2, 1, 0
 
-_SENTENCE, _CLAUSE = (np.isin(np.arange(256), [ord(c) for c in s]) for s in (".!?", ",;:"))
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Ends of sentences and clauses where white space follows, and those that need none after them. Fixed values.
+SENTENCE_ENDS, CLAUSE_ENDS = ".!?\u2026\u203c\u2047\u061f\u06d4\u0964\u0965\u0589", ",;:\u060c\u061b"
+WIDE_SENTENCE_ENDS, WIDE_CLAUSE_ENDS = "\u3002\uff01\uff1f\uff61", "\u3001\uff0c\uff1b\uff1a\uff64"
+LINE_ENDS = "\n\r\x85\u2028\u2029"
+_SENTENCE, _CLAUSE, _WIDE_SENTENCE, _WIDE_CLAUSE, _LINE, _WHITE = (np.array(sorted(map(ord, s)), np.uint32) for s in (SENTENCE_ENDS, CLAUSE_ENDS, WIDE_SENTENCE_ENDS, WIDE_CLAUSE_ENDS, LINE_ENDS, WHITE))
 
 
 class StrongestCut:
@@ -41,28 +45,34 @@ class StrongestCut:
         return int(max(level[first], level[last + 1 - (1 << k)])) % self.n
 
 
-def cut_strengths(data: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def cut_strengths(points: np.ndarray, places: np.ndarray, inside: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Strength of a cut before each token and after the last.
 
-    data: the text's bytes. ends: byte offsets of the tokens' ends, from 0. whole: which of these end a piece
-    of the public pattern.
+    points: the text's code points. places: how many of them lie before each cut. inside: which cuts lie within a
+    character. whole: which end a piece of the public pattern. A line counts as empty if there is nothing but
+    white space in it; the cut stands before the next line that isn't.
     """
-    n = len(data)
-    inside = np.clip(ends, 1, max(n - 1, 1))
-    before, after = data[inside - 1], data[np.minimum(inside, n - 1)]
-    before2 = data[np.maximum(inside - 2, 0)]
+    n = len(points)
+    white, lines = np.isin(points, _WHITE), np.isin(points, _LINE)
+    lines[:-1] &= ~((points[:-1] == 13) & (points[1:] == 10))
+    seen = np.concatenate([[0], np.cumsum(~white)])
+    at = np.flatnonzero(lines)
+    last, following = np.concatenate([[-1], at[:-1]]), np.append(at[1:], n)[: len(at)]
+    blank = (last[: len(at)] >= 0) & (seen[at] == seen[last[: len(at)] + 1])
+    more = (following < n) & (seen[following] == seen[np.minimum(at + 1, n)])
+    empty = np.zeros(n, bool)
+    empty[at[blank & ~more]] = True
+    before, after = np.clip(places - 1, 0, n - 1), np.clip(places, 0, n - 1)
+    b, spaced = points[before], white[after]
     s = np.where(whole, PIECE, TOKEN)
-    spaced = _SPACE[before] | _SPACE[after]
-    s = np.where(whole & spaced, WORD, s)
-    s = np.where(whole & _SPACE[after] & _CLAUSE[before], CLAUSE, s)
-    s = np.where(whole & _SPACE[after] & _SENTENCE[before], SENTENCE, s)
-    line = (before == 10) | (before == 13)
-    s = np.where(line & ~((before == 13) & (after == 10)), LINE, s)
-    # the last line end of an empty line: two line ends of the same kind, or \r\n\r\n, with nothing between
-    empty = line & ((before2 == before) | ((before == 10) & (before2 == 13) & (data[np.maximum(inside - 3, 0)] == 10)))
-    s = np.where(empty & (s == LINE) & (after != 10) & (after != 13), EMPTY_LINE, s)
-    s = np.where((data[np.minimum(inside, n - 1)] & 0xC0) == 0x80, NONE, s)
-    s[(ends == 0) | (ends == n)] = EMPTY_LINE
+    s = np.where(whole & (white[before] | spaced), WORD, s)
+    s = np.where(whole & (np.isin(b, _WIDE_CLAUSE) | (spaced & np.isin(b, _CLAUSE))), CLAUSE, s)
+    s = np.where(whole & (np.isin(b, _WIDE_SENTENCE) | (spaced & np.isin(b, _SENTENCE))), SENTENCE, s)
+    s = np.where(lines[before], LINE, s)
+    s = np.where(empty[before], EMPTY_LINE, s)
+    s = np.where(inside, NONE, s)
+    s[(places == 0) | (places == n)] = EMPTY_LINE
+    s[inside] = NONE
     return s
 
 
@@ -90,10 +100,12 @@ def split_text(text: str, encoder: Encoder, most: int = 1024, overlap: int = 64,
     ends = np.concatenate([[0], np.cumsum(encoder.lengths[ids], dtype=np.int64)])
     whole = np.zeros(n + 1, bool)
     whole[np.concatenate([[0], np.cumsum(sizes)])] = True
-    strengths = cut_strengths(data, ends, whole)
-    strongest = StrongestCut(strengths)
     # characters that begin before each byte
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    inside = (data[np.minimum(ends, len(data) - 1)] & 0xC0) == 0x80
+    inside[-1] = False
+    strengths = cut_strengths(np.frombuffer(text.encode("utf-32-le"), "<u4"), chars[ends], inside, whole)
+    strongest = StrongestCut(strengths)
     out: list[tuple[int, int, int, int]] = []
     begin = 0
     while True:
@@ -172,3 +184,29 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield batch()
 
     return rows.mapInArrow(run, schema)
+
+
+def piece_violations(pieces: DataFrame, lengths: DataFrame, id_col: str = "doc_id", most: int = 1024, overlap: int = 64, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, piece, problem) of pieces that break a rule of split_documents; no rows if all is right.
+
+    lengths: (id, n_chars) of every text in code points. Each piece encoded anew must have at most `most` tokens and
+    as many characters as its bounds say; a text's pieces must begin at its first and end at its last character,
+    each after the last one's beginning and, but for short ones, `overlap` to overlap + 3 tokens before its end.
+    Ids must tell texts apart. Texts aren't shuffled, only the bounds of their pieces.
+    """
+    named = pieces.select(F.col(f"`{id_col}`").alias("__id"), *[c for c in pieces.columns if c != id_col], F.length("text").alias("__length"))
+    sized = count_tokens(named, "text", vocabulary=vocabulary, out="__tokens")
+    w = Window.partitionBy("__id").orderBy("piece")
+    last = lambda c: F.lag(c).over(w)
+    seen = sized.join(lengths.select(F.col(f"`{id_col}`").alias("__id"), "n_chars"), "__id")
+    seen = seen.select("*", last("first_token").alias("a0"), last("end_token").alias("a1"), last("end_char").alias("c1"), last("first_char").alias("c0"))
+    back = F.col("a1") - F.col("first_token")
+    problem = (
+        F.when(F.col("__tokens") > most, "too large")
+        .when(F.col("__length") != F.col("end_char") - F.col("first_char"), "other text")
+        .when((F.col("piece") == 1) & ((F.col("first_char") != 0) | (F.col("first_token") != 0)), "late beginning")
+        .when((F.col("piece") == F.col("n_pieces")) & (F.col("end_char") != F.col("n_chars")), "early end")
+        .when((F.col("piece") > 1) & (F.col("a0").isNull() | (F.col("first_char") > F.col("c1")) | (F.col("first_char") <= F.col("c0"))), "gap")
+        .when((F.col("a1") - F.col("a0") > overlap + 3) & ~back.between(overlap, overlap + 3), "other overlap")
+    )
+    return seen.select(F.col("__id").alias(id_col), "piece", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from sieveline.llm import bpe
 from sieveline.llm.distinct import as_partials, decode_run, distinct_counts, encode_run, hash_runs, merge_runs, union_runs
 from sieveline.llm.frequent import Sketch, exact_counts, frequent_values
-from sieveline.llm.mixing import mix, mix_shares, source_key, source_rates
-from sieveline.llm.splitting import NONE, StrongestCut, split_documents, split_text
+from sieveline.llm.mixing import mix, mix_shares, mix_violations, source_key, source_rates
+from sieveline.llm.splitting import NONE, StrongestCut, piece_violations, split_documents, split_text
 
 
 @pytest.fixture(scope="module")
@@ -227,7 +227,11 @@ def test_mix(spark):
     shares = {(r["mix_name"], r["source"]): r for r in mix_shares(picked, rates).collect()}
     for s in "ab":
         assert abs(shares["m", s]["tokens"] / shares["m", s]["target_tokens"] - 1) < 0.05
-    assert shares["m", "absent"]["tokens"] == 0
+        assert abs(shares["m", s]["tokens"] - shares["m", s]["target_tokens"]) < 4 * shares["m", s]["draw_sd"]
+    assert shares["m", "absent"]["tokens"] == 0 and shares["m", "tiny"]["draw_sd"] == 0
+    assert mix_violations(picked, sizes, rates).collect() == []
+    wrong = picked.filter("NOT (mix_name = 'm' AND doc_id = 5000 AND copy = 2)").unionByName(picked.filter("mix_name = 'm' AND doc_id < 5000").limit(1))
+    assert {(r["mix_name"], r["doc_id"] == 5000) for r in mix_violations(wrong, sizes, rates).collect()} == {("m", True), ("m", False)}
     keys = spark.createDataFrame([(" Crawl-Pages ",), ("",), (None,)], "s string").select(source_key(F.col("s"))).collect()
     assert [r[0] for r in keys] == ["crawl_pages", None, None]
 
@@ -272,6 +276,30 @@ def test_pieces_prefer_paragraphs(encoder):
         split_text("a", encoder, 10, 6)
 
 
+@pytest.mark.parametrize(
+    "end,weaker",
+    [("\n \t\n", "\n"), ("\r\n\u3000\r\n", "\r\n"), ("\u2029\u2029", "\u2028"), ("\u2028", ". "), ("\x85", "! "), ("\u3002", "\uff0c"), ("\uff1f", "\u3001"), ("\u061f ", "\u060c "), ("\uff0c", " "), (".\u00a0", ",\u00a0")],
+)
+def test_pieces_end_at_the_stronger_of_two_kinds(encoder, end, weaker):
+    """Code points decide, not bytes: other scripts' sentence, clause and line ends, and empty lines with blanks."""
+    text = (("ab cd" + weaker) * 2 + "ab cd" + end) * 30
+    for p in split_text(text, encoder, 60, 4)[:-1]:
+        assert text[: p[3]].rstrip(" \u00a0").endswith(end.rstrip(" \u00a0")), repr(text[p[2] : p[3]])
+
+
+def test_piece_violations(spark):
+    texts = ["word " * 3000, "short", "\u65e5\u672c\u3002\n \n" * 900, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lengths = df.select("doc_id", F.length("text").alias("n_chars"))
+    pieces = split_documents(df)
+    assert piece_violations(pieces, lengths).collect() == []
+    kinds = lambda p, **k: {r["problem"] for r in piece_violations(p, lengths, **k).collect()}
+    assert kinds(pieces, most=500) == {"too large"} and "other overlap" in kinds(pieces, overlap=99)
+    assert kinds(pieces.filter("piece <> 2")) == {"gap"} and kinds(pieces.withColumn("text", F.lit("x"))) == {"other text"}
+    longer = lengths.withColumn("n_chars", F.col("n_chars") + 1)
+    assert {r["problem"] for r in piece_violations(pieces, longer).collect()} == {"early end"}
+
+
 def test_split_documents(spark, encoder):
     texts = [None, "", "short", "word " * 3000, "日本" * 3000, "a" * 9000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece string")

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     df = entry.queries()[name](spark, SF)
     got = rows(df.columns, df.collect())
-    assert got or name == "p2_found"
+    assert got or name == "p2_found" or name.endswith("_violations")
     if sql := entry.oracle_sql().get(name):
         db = duckdb.connect()
         for f in os.listdir(SF):
