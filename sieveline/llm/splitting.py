@@ -22,7 +22,18 @@ EMPTY_LINE, LINE, SENTENCE, CLAUSE, WORD, PIECE, TOKEN, NONE = 7, 6, 5, 4, 3, 2,
 SENTENCE_ENDS, CLAUSE_ENDS = ".!?\u2026\u203c\u2047\u061f\u06d4\u0964\u0965\u0589", ",;:\u060c\u061b"
 WIDE_SENTENCE_ENDS, WIDE_CLAUSE_ENDS = "\u3002\uff01\uff1f\uff61", "\u3001\uff0c\uff1b\uff1a\uff64"
 LINE_ENDS = "\n\r\x85\u2028\u2029"
-_SENTENCE, _CLAUSE, _WIDE_SENTENCE, _WIDE_CLAUSE, _LINE, _WHITE = (np.array(sorted(map(ord, s)), np.uint32) for s in (SENTENCE_ENDS, CLAUSE_ENDS, WIDE_SENTENCE_ENDS, WIDE_CLAUSE_ENDS, LINE_ENDS, WHITE))
+_WHITE, _LINE, _SENTENCE, _CLAUSE, _WIDE_SENTENCE, _WIDE_CLAUSE = (1 << k for k in range(6))
+
+
+def _kinds() -> np.ndarray:
+    """Bits of what each code point of the basic plane is; those above it are none of these."""
+    out = np.zeros(1 << 16, np.uint8)
+    for bit, chars in ((_WHITE, WHITE), (_LINE, LINE_ENDS), (_SENTENCE, SENTENCE_ENDS), (_CLAUSE, CLAUSE_ENDS), (_WIDE_SENTENCE, WIDE_SENTENCE_ENDS), (_WIDE_CLAUSE, WIDE_CLAUSE_ENDS)):
+        out[[ord(c) for c in chars]] |= bit
+    return out
+
+
+_KINDS = _kinds()
 
 
 class StrongestCut:
@@ -53,7 +64,8 @@ def cut_strengths(points: np.ndarray, places: np.ndarray, inside: np.ndarray, wh
     white space in it; the cut stands before the next line that isn't.
     """
     n = len(points)
-    white, lines = np.isin(points, _WHITE), np.isin(points, _LINE)
+    kinds = _KINDS[np.minimum(points, 0xFFFF)]
+    white, lines = kinds & _WHITE != 0, kinds & _LINE != 0
     lines[:-1] &= ~((points[:-1] == 13) & (points[1:] == 10))
     seen = np.concatenate([[0], np.cumsum(~white)])
     at = np.flatnonzero(lines)
@@ -63,11 +75,12 @@ def cut_strengths(points: np.ndarray, places: np.ndarray, inside: np.ndarray, wh
     empty = np.zeros(n, bool)
     empty[at[blank & ~more]] = True
     before, after = np.clip(places - 1, 0, n - 1), np.clip(places, 0, n - 1)
-    b, spaced = points[before], white[after]
+    b, spaced = kinds[before], white[after]
+    ends = lambda wide, narrow: (b & wide != 0) | (spaced & (b & narrow != 0))
     s = np.where(whole, PIECE, TOKEN)
     s = np.where(whole & (white[before] | spaced), WORD, s)
-    s = np.where(whole & (np.isin(b, _WIDE_CLAUSE) | (spaced & np.isin(b, _CLAUSE))), CLAUSE, s)
-    s = np.where(whole & (np.isin(b, _WIDE_SENTENCE) | (spaced & np.isin(b, _SENTENCE))), SENTENCE, s)
+    s = np.where(whole & ends(_WIDE_CLAUSE, _CLAUSE), CLAUSE, s)
+    s = np.where(whole & ends(_WIDE_SENTENCE, _SENTENCE), SENTENCE, s)
     s = np.where(lines[before], LINE, s)
     s = np.where(empty[before], EMPTY_LINE, s)
     s = np.where(inside, NONE, s)
