@@ -36,20 +36,17 @@ def sessions(df: DataFrame, actor: str, seconds: str, gap_s: int = 1800, chunk_s
         .groupBy("actor", "chunk", "k", "last_k")
         .agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.sum("n").alias("n_events"))
         .withColumn("edge", (F.col("k") == 0) | (F.col("k") == F.col("last_k")))
-        .select("actor", "start_s", "end_s", "n_events", "edge")
+        .select("actor", "chunk", "start_s", "end_s", "n_events", "edge")
     )
-    by_actor = Window.partitionBy("actor").orderBy("start_s")
     # An inner session lies between the edges of its chunk, so edges of one chunk are never merged with each
-    # other unless they are the same session: the pause to the inner ones is already above gap_s.
+    # other unless they are the same session: the pause to the inner ones is already above gap_s. Inner sessions go
+    # through the same window, each chunk's apart from the actor's edges, so that no stage is worked out twice.
+    place = local.withColumn("place", F.when(~F.col("edge"), F.col("chunk"))).drop("edge", "chunk")
+    neighbours = Window.partitionBy("actor", "place").orderBy("start_s")
     merged = (
-        local.filter("edge")
-        .withColumn("opens", F.coalesce((F.col("start_s") - F.lag("end_s").over(by_actor) > gap_s).cast("int"), F.lit(0)))
-        .withColumn("k", F.sum("opens").over(by_actor.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("actor", "k")
+        place.withColumn("opens", F.coalesce((F.col("start_s") - F.lag("end_s").over(neighbours) > gap_s).cast("int"), F.lit(0)))
+        .withColumn("k", F.sum("opens").over(neighbours.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("actor", "place", "k")
         .agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("n_events").alias("n_events"))
-        .drop("k")
-    )
-    whole = local.filter(~F.col("edge")).drop("edge")
-    return merged.unionByName(whole).select(
-        "actor", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "n_events"
     )
+    return merged.select("actor", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "n_events")

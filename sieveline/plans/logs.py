@@ -19,6 +19,7 @@ from sieveline.operators import verdict as V
 from sieveline.plans import inline as I
 from sieveline.plans.access import _IP, _ONCE, _SITE, _TRIM, _USER, _WHEN, log_once
 from sieveline.plans.registry import QuerySet
+from sieveline.plans.streams import _ALERTS, _ENTRIES, _HITS, _REQ
 from sieveline.plans.urls import _IPS
 from sieveline.session import table
 from sieveline.sinks import log as K
@@ -212,21 +213,45 @@ def _requests(spark: SparkSession, d: str, *more) -> DataFrame:
     return log_once(spark, d, L.raw_value(F.col("url")).alias("url"), "filter_group", L.epoch_seconds(F.col("when_txt")).alias("s"), *more)
 
 
-_REQ = f"(SELECT * FROM (SELECT *, {_WHEN} AS s FROM {_ONCE}) WHERE s IS NOT NULL)"
 
-
-@Q.add("t01_clean_cache", f"SELECT log_id, coalesce(s - lag(s) OVER (PARTITION BY url, filter_group ORDER BY s, log_id) <= 900, false) AS is_hit FROM {_REQ} WHERE {_TRIM('url')} NOT IN ('', '-') AND filter_group IS NOT NULL AND NOT is_naughty")
+@Q.add("t01_clean_cache", f"SELECT log_id, is_hit FROM ({_HITS})")
 def t01_clean_cache(spark, d):
     """Requests that find their url clean in their group within 900 s."""
     df = _requests(spark, d, "is_naughty").filter("url IS NOT NULL AND s IS NOT NULL AND filter_group IS NOT NULL AND NOT is_naughty")
     return S.cache_hits(df, ["url", "filter_group"], "s", ["log_id"]).select("log_id", "is_hit")
 
 
-@Q.add("t02_newest_entries", f"SELECT url, min(s) AS s FROM {_REQ} WHERE {_TRIM('url')} NOT IN ('', '-') AND NOT is_naughty GROUP BY url ORDER BY s DESC, url LIMIT 1000")
+#: Requests of a ring of three places, the flush at 9 apart, and what the ring holds in the end, worked out by hand:
+#: d takes the place of a at 5, a that of b at 6, b that of c at 7, c that of d at 8, d that of a at 10.
+_RING = [(1, "a"), (2, "b"), (3, "c"), (4, "a"), (5, "d"), (6, "a"), (7, "b"), (8, "c"), (9, "c"), (10, "d")]
+
+
+@Q.add("w07_ring", f"SELECT url, s FROM {I.values_sql([('b', 7), ('c', 9), ('d', 10)], 'url, s')}")
+def w07_ring(spark, d):
+    """A small ring with overwritten keys that come back, in chunks of three requests."""
+    rows = I.inline(spark, _RING, "s long, url string")
+    return S.ring_entries(rows, "url", "s", [], 3, chunk_rows=3).select("url", F.col("s").cast("int").alias("s"))
+
+
+@Q.add("t03_flush", f"SELECT url, s FROM {I.values_sql([('b', 0), ('c', 9), ('d', 10)], 'url, s')}")
+def t03_flush(spark, d):
+    """The same with a flush before the last two: entries get old, and keep their places."""
+    rows = I.inline(spark, [(s, int(s == 9), u, False) for s, u in _RING] + [(9, 0, None, True)], "s long, o int, url string, flush boolean")
+    return S.ring_entries(rows, "url", "s", ["o"], 3, "flush", chunk_rows=3).select("url", F.col("s").cast("int").alias("s"))
+
+
+@Q.add("t02_newest_entries")
 def t02_newest_entries(spark, d):
-    """What a cache of 1000 places holds in the end (W07); the limit is the cache's size."""
+    """What a cache of 1000 places holds after the log's requests; its size is the feature."""
     df = _requests(spark, d, "is_naughty").filter("url IS NOT NULL AND s IS NOT NULL AND NOT is_naughty")
-    return S.newest_entries(df, "url", "s", 1000)
+    return S.ring_entries(df, "url", "s", ["log_id", "url"], 1000)
+
+
+@Q.add("t01_cache_entries", _ENTRIES)
+def t01_cache_entries(spark, d):
+    """Entries of the cache of clean urls: when each was put in, when it was last found, and how often."""
+    df = _requests(spark, d, "is_naughty").filter("url IS NOT NULL AND s IS NOT NULL AND filter_group IS NOT NULL AND NOT is_naughty")
+    return S.cache_entries(df, ["url", "filter_group"], "s")
 
 
 @Q.add("u05_groups_per_url", f"SELECT url, list_sort(list(DISTINCT filter_group)) AS groups FROM {_ONCE} WHERE {_TRIM('url')} NOT IN ('', '-') AND filter_group IS NOT NULL AND NOT is_naughty GROUP BY url")
@@ -235,11 +260,33 @@ def u05_groups_per_url(spark, d):
     return df.groupBy("url").agg(F.sort_array(F.collect_set("filter_group")).alias("groups"))
 
 
-@Q.add("t04_ip_slots", f"SELECT ip FROM (SELECT {_IP} AS ip, min(s) AS f FROM {_REQ} GROUP BY 1) WHERE ip IS NOT NULL ORDER BY f, ip LIMIT 200")
+#: Requests for two slots that are freed after more than 500 s at ticks of 100 s, and the slots in the end: 10.0.0.3
+#: is refused at 30 and 540; both others are freed at 600 (10.0.0.1 at 0, 10.0.0.2 at 10), so it gets one at 620.
+_SLOTS = [(0, "10.0.0.1"), (10, "10.0.0.2"), (30, "10.0.0.3"), (540, "10.0.0.3"), (620, "10.0.0.3"), (630, "10.0.0.1"), (640, "10.0.0.2"), (1100, "10.0.0.3"), (1210, "10.0.0.2")]
+
+
+@Q.add("t05_slot_purge", f"SELECT ip, last_s FROM {I.values_sql([('10.0.0.3', 1100), ('10.0.0.2', 1210)], 'ip, last_s')}")
+def t05_slot_purge(spark, d):
+    """Slots that are freed when they weren't used for long, in chunks of two requests."""
+    rows = I.inline(spark, _SLOTS, "s long, ip string")
+    return S.ip_slots(rows, "ip", "s", 2, 500, 100, chunk_rows=2).select("ip", F.col("last_s").cast("int").alias("last_s"))
+
+
+@Q.add("t04_ip_slots")
 def t04_ip_slots(spark, d):
-    """Addresses that 200 slots admit; the limit is the number of slots."""
+    """Addresses that hold 200 slots after the log's requests, freed after a day; the number of slots is the feature."""
     df = log_once(spark, d, L.ip_key(F.col("ip")).alias("ip"), L.epoch_seconds(F.col("when_txt")).alias("s")).filter("s IS NOT NULL")
-    return S.admitted_clients(df, "ip", "s", 200)
+    return S.ip_slots(df, "ip", "s", 200, expire_s=86_400)
+
+
+@Q.add("t09_identity_memo", f"""WITH k AS (SELECT ip, s, arg_max(u, log_id) FILTER (u IS NOT NULL) AS v FROM (SELECT {_IP} AS ip, {_USER} AS u, s, log_id FROM {_REQ}) WHERE ip IS NOT NULL GROUP BY ALL),
+ m AS (SELECT ip, s, last_value(v IGNORE NULLS) OVER (PARTITION BY ip ORDER BY s) AS carried FROM k)
+ SELECT log_id, coalesce(u, carried) AS usr FROM (SELECT {_IP} AS ip, {_USER} AS u, s, log_id FROM {_REQ}) LEFT JOIN m USING (ip, s)""")
+def t09_identity_memo(spark, d):
+    """User of every request: its own, else the last one known of its address."""
+    df = log_once(spark, d, L.ip_key(F.col("ip")).alias("ip"), L.user_key(F.col("user_name")).alias("u"), L.epoch_seconds(F.col("when_txt")).alias("s")).filter("s IS NOT NULL")
+    memo = S.carried_values(df.filter("ip IS NOT NULL"), ["ip"], "s", "u", "log_id")
+    return df.join(memo, ["ip", "s"], "left").select("log_id", F.coalesce("u", "carried").alias("usr"))
 
 
 @Q.add("a08_active_ips", f"""WITH e AS (SELECT DISTINCT {_IP} AS ip, s FROM {_REQ}), m AS (SELECT ip, s, CASE WHEN s - lag(s) OVER w <= 86399 THEN 0 ELSE 1 END AS o FROM e WHERE ip IS NOT NULL WINDOW w AS (PARTITION BY ip ORDER BY s)),
@@ -253,12 +300,11 @@ def a08_active_ips(spark, d):
     return S.active_clients(df, "ip", "s", expire_s=86_399)
 
 
-@Q.add("a09_violations", f"""WITH v AS (SELECT {_USER} AS u, s, row_number() OVER (PARTITION BY {_USER} ORDER BY s, log_id) AS k FROM {_REQ} WHERE is_naughty)
- SELECT u, min(s) AS first, max(s) AS last, count(*) AS n FROM v WHERE u IS NOT NULL GROUP BY u, (k - 1) // 3 HAVING count(*) = 3 AND max(s) - min(s) <= 86400""")
+@Q.add("a09_violations", _ALERTS)
 def a09_violations(spark, d):
     """Users with three denials within a day, the counter starting anew after each three."""
     df = log_once(spark, d, L.user_key(F.col("user_name")).alias("u"), L.epoch_seconds(F.col("when_txt")).alias("s"), "is_naughty").filter("is_naughty AND s IS NOT NULL")
-    return S.violation_alerts(df, "u", "s", ["log_id"], 3, 86_400)
+    return S.violation_alerts(df, "u", "s", 3, 86_400)
 
 
 @Q.add("x02_scanner_results", f"SELECT log_id, CASE WHEN regexp_matches(what, 'phrase') THEN 1 WHEN code IN (200, 304) THEN 0 WHEN code = 500 THEN 1 ELSE -1 END AS code, true AS scanned FROM {_ONCE}")

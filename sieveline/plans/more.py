@@ -127,7 +127,7 @@ SAME = {
     "f19_scan_gates": "f15_text_only", "f21_ads_exemption": "k06_admission", "f22_label_limits": "c04_labels", "k12_list_cache": "s06_processed_cache", "k14_image_replacement": "c12_denial",
     "s02_nested_include": "s01_item_list", "s03_phrase_list": "s05_phrase_base", "s14_group_options": "s13_options", "s15_plugin_options": "s13_options", "s18_template": "k09_block_page", "s19_header_lines": "p13_headers",
     "sf06_replace_all": "sf05_collapse", "sf10_url_functions": "p12_url_key", "sf13_quick_search": "a01_phrase_count_builtin", "t06_token_expiry": "sf15_bypass", "t10_rule_freshness": "t08_reloaded_rules_stream",
-    "u02_phrase_union": "s05_phrase_base", "u04_combi_intersect": "j11_combi", "w04_first_match": "f07_regex_url", "w07_ring": "t02_newest_entries", "x07_registry": "x01_signature_scan",
+    "u02_phrase_union": "s05_phrase_base", "u04_combi_intersect": "j11_combi", "w04_first_match": "f07_regex_url", "x07_registry": "x01_signature_scan",
 }
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from sieveline.functions import logfields as L
 from sieveline.operators.verdict import hits_by_list
 from sieveline.operators.match import site_keys
+from sieveline.plans.access import _IP, _ONCE, _TRIM, _USER, _WHEN, log_once
+from sieveline.plans.access import Q as _ACCESS
 from sieveline.plans.registry import QuerySet
 from sieveline.session import table
 from sieveline.streaming import streams as S
@@ -28,6 +30,19 @@ LATE = "10 days"
 END = datetime.datetime(2200, 1, 1, tzinfo=datetime.timezone.utc)
 
 
+_P5 = _ACCESS.sql["p5_sessions"]
+_REQ = f"(SELECT * FROM (SELECT *, {_WHEN} AS s FROM {_ONCE}) WHERE s IS NOT NULL)"
+_CLEAN = f"{_REQ} WHERE {_TRIM('url')} NOT IN ('', '-') AND filter_group IS NOT NULL AND NOT is_naughty"
+#: SQL of the batch queries that streams give the rows of.
+_HITS = f"SELECT log_id, url, filter_group, s, coalesce(s - lag(s) OVER (PARTITION BY url, filter_group ORDER BY s, log_id) <= 900, false) AS is_hit FROM {_CLEAN}"
+_ENTRIES = f"""WITH m AS (SELECT url, filter_group, s, count(*) AS n FROM {_CLEAN} GROUP BY ALL),
+ o AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 900 THEN 0 ELSE 1 END AS o FROM m WINDOW w AS (PARTITION BY url, filter_group ORDER BY s)),
+ k AS (SELECT *, sum(o) OVER (PARTITION BY url, filter_group ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM o)
+ SELECT url, filter_group, min(s) AS put_s, max(s) AS last_s, CAST(sum(n) - 1 AS BIGINT) AS n_hits FROM k GROUP BY url, filter_group, k"""
+_ALERTS = f"""WITH v AS (SELECT {_USER} AS u, s, row_number() OVER (PARTITION BY {_USER} ORDER BY s, log_id) AS k FROM {_REQ} WHERE is_naughty)
+ SELECT u, min(s) AS first, max(s) AS last, count(*) AS n FROM v WHERE u IS NOT NULL GROUP BY u, (k - 1) // 3 HAVING count(*) = 3 AND max(s) - min(s) <= 86400"""
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares; a local one only where none is set and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", "")
@@ -94,19 +109,26 @@ def closed(log: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFr
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 
-@Q.add("t01_clean_cache_stream")
+@Q.add("t01_clean_cache_stream", f"SELECT url, CAST(filter_group AS BIGINT) AS grp, s AS t_s, is_hit FROM ({_HITS})")
 def t01_clean_cache_stream(spark, d):
     """Requests of t01_clean_cache, as a stream."""
     df = log_stream(spark, d).withColumn("url", L.raw_value(F.col("url"))).filter("url IS NOT NULL AND filter_group IS NOT NULL AND NOT is_naughty")
     return closed(df.select("log_id", "url", "filter_group", "ts"), lambda s: S.clean_cache(s, "url", "filter_group", "ts"))
 
 
+@Q.add("t01_cache_entries_stream", f"SELECT url, CAST(filter_group AS BIGINT) AS grp, put_s, last_s, n_hits FROM ({_ENTRIES})")
+def t01_cache_entries_stream(spark, d):
+    """Entries of t01_cache_entries, as a stream."""
+    df = log_stream(spark, d).withColumn("url", L.raw_value(F.col("url"))).filter("url IS NOT NULL AND filter_group IS NOT NULL AND NOT is_naughty")
+    return closed(df.select("log_id", "url", "filter_group", "ts"), lambda s: S.cache_entries(s, "url", "filter_group", "ts"))
+
+
 @Q.add("t05_deliver_once_stream", "SELECT DISTINCT log_id FROM access_log WHERE regexp_matches(coalesce(when_txt, ''), '[0-9]')")
 def t05_deliver_once_stream(spark, d):
     return finished(S.once(log_stream(spark, d).select("log_id", "ts"), "log_id", "ts", "40 days").select("log_id"))
 
 
-@Q.add("t07_violations_stream")
+@Q.add("t07_violations_stream", f"SELECT u AS key, first, last, n FROM ({_ALERTS})")
 def t07_violations_stream(spark, d):
     """Alerts of a09_violations, as a stream."""
     df = log_stream(spark, d).filter("is_naughty").withColumn("u", L.user_key(F.col("user_name"))).filter("u IS NOT NULL")
@@ -128,16 +150,25 @@ def t08_reloaded_rules_stream(spark, d):
     return spark.read.parquet(f"{at}/verdicts").select("log_id").distinct()
 
 
-@Q.add("k08_active_stream")
+@Q.add("k08_active_stream", f"SELECT s // 180 * 180 AS start_s, CAST(count(DISTINCT a) AS BIGINT) AS n, true AS is_near FROM (SELECT {_IP} AS a, {_WHEN} AS s FROM {_ONCE}) WHERE a IS NOT NULL AND s IS NOT NULL GROUP BY 1")
 def k08_active_stream(spark, d):
-    """About how many addresses each tick has requests of; a08_active_ips tells those of the day before each."""
+    """Addresses with requests in each tick, by the stream's sketch, held against the exact number of the log.
+
+    is_near: the sketch is off by at most 15 %, three times its standard error, or by one. a08_active_ips tells the
+    addresses of the day before each tick, exactly.
+    """
     df = log_stream(spark, d).withColumn("a", L.ip_key(F.col("ip"))).filter("a IS NOT NULL")
-    return closed(df.select("log_id", "a", "ts"), lambda s: S.active_clients(s, "a", "ts", late=None))
+    ticks = closed(df.select("log_id", "a", "ts"), lambda s: S.active_clients(s, "a", "ts", late=None)).select(F.unix_timestamp("start").alias("start_s"), F.col("n").alias("about"))
+    log = log_once(spark, d, L.ip_key(F.col("ip")).alias("a"), L.epoch_seconds(F.col("when_txt")).alias("s")).filter("a IS NOT NULL AND s IS NOT NULL")
+    exact = log.groupBy((F.floor(F.col("s") / 180) * 180).cast("long").alias("start_s")).agg(F.countDistinct("a").alias("n"))
+    near = F.abs(F.col("about") - F.col("n")) <= F.greatest(F.lit(1.0), 0.15 * F.col("n"))
+    return exact.join(ticks, "start_s", "full").select("start_s", "n", F.coalesce(near, F.lit(False)).alias("is_near"))
 
 
-@Q.add("t_sessions_stream")
+@Q.add("t_sessions_stream", f"SELECT actor, start_s, end_s, n_events FROM ({_P5})")
 def t_sessions_stream(spark, d):
     """Sessions of p5_sessions, as a stream: of users, or of addresses where no user is known."""
     actor = F.coalesce(F.concat(F.lit("user:"), L.user_key(F.col("user_name"))), F.concat(F.lit("ip:"), L.ip_key(F.col("ip"))))
     df = log_stream(spark, d).withColumn("actor", actor).filter("actor IS NOT NULL")
-    return closed(df.select("log_id", "actor", "ts"), lambda s: S.sessions(s, F.col("actor"), "ts", late=None))
+    out = closed(df.select("log_id", "actor", "ts"), lambda s: S.sessions(s, F.col("actor"), "ts", late=None))
+    return out.select("actor", F.unix_timestamp("start").alias("start_s"), (F.unix_timestamp("end") - 1800).alias("end_s"), F.col("n").alias("n_events"))

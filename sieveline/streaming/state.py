@@ -1,60 +1,107 @@
-"""Time-limited state over event order, in batch: built of time chunks, so no key is ever one task's whole load."""
+"""State over event order, in batch: by seconds and days of a key, or by chunks of the order, so no key is one task's load."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.operators.sessions import sessions
+from sieveline.streaming import ordered
 
 #: Seconds after which an address no longer counts as active, and between two statistics. Fixed values.
 ACTIVE_S, STATS_S = 604_799, 180
 
 
-def with_previous(df: DataFrame, keys: list[str], t: str, out: str, order: list[str], chunk_s: int = 86_400) -> DataFrame:
-    """df with the time of the key's previous row in `out`, null for its first one.
+def by_second(df: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """(keys, t, n, before, earlier): the different seconds of each key, and how many rows it has in them.
 
-    Rows are ordered by t and then by `order`, which must tell rows apart for a defined result. Within a chunk
-    of time a window looks back; the first row of a chunk takes the last time of the key's chunks before it.
+    before: the key's last second before this one, null for its first; earlier: its rows before this second. t is in
+    whole seconds. Rows are counted partially before the shuffle, so a day of a key is at most 86,400 rows, however
+    many it had; windows run within a day, and days are joined by what each ends with.
     """
-    chunked = df.withColumn("__chunk", F.floor(F.col(t) / chunk_s))
-    own = Window.partitionBy(*keys, "__chunk").orderBy(t, *order)
-    last = chunked.groupBy(*keys, "__chunk").agg(F.max(t).alias("__last"))
-    before = last.withColumn("__before", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__last")
-    looked = chunked.withColumn("__own", F.lag(t).over(own))
-    return looked.join(before, [*keys, "__chunk"]).withColumn(out, F.coalesce("__own", "__before")).drop("__own", "__before", "__chunk")
-
-
-def numbered(df: DataFrame, keys: list[str], t: str, out: str, order: list[str], chunk_s: int = 86_400) -> DataFrame:
-    """df with each row's number within its key, from 1 in order of t and `order`; in chunks as above."""
-    chunked = df.withColumn("__chunk", F.floor(F.col(t) / chunk_s))
-    own = Window.partitionBy(*keys, "__chunk").orderBy(t, *order)
-    counts = chunked.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    looked = chunked.withColumn("__own", F.row_number().over(own))
-    return looked.join(before, [*keys, "__chunk"]).withColumn(out, F.col("__own") + F.col("__before")).drop("__own", "__before", "__chunk")
+    day = F.floor(F.col(t) / 86_400)
+    counted = df.groupBy(*keys, day.alias("__day"), t).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*keys, "__day").orderBy(t)
+    looked = counted.select("*", F.lag(t).over(own).alias("__before"), (F.sum("n").over(own) - F.col("n")).alias("__earlier"))
+    days = looked.groupBy(*keys, "__day").agg(F.max(t).alias("__last"), F.sum("n").alias("__n"))
+    past = Window.partitionBy(*keys).orderBy("__day")
+    carried = days.select(*keys, "__day", F.lag("__last").over(past).alias("__day_before"), (F.sum("__n").over(past) - F.col("__n")).alias("__days_earlier"))
+    joined = looked.join(carried, [*keys, "__day"])
+    return joined.select(*keys, t, "n", F.coalesce("__before", "__day_before").alias("before"), (F.col("__earlier") + F.col("__days_earlier")).alias("earlier"))
 
 
 def cache_hits(df: DataFrame, keys: list[str], t: str, order: list[str], ttl_s: int = 900) -> DataFrame:
-    """df with is_hit: the key was asked for at most ttl_s before. Each request refreshes its entry.
+    """(keys, t, order, is_hit) of each row: whether the key was asked for at most ttl_s before, or earlier in its second.
 
-    Null keys are no entries and have to be filtered out before; an empty table stays empty.
+    t is in whole seconds; within one, rows follow `order`, and rows that are equal in it too are one hit less
+    than their number. Each request refreshes its entry. Null keys are no entries and have to be filtered out
+    before; an empty table stays empty. Rows are spread by all of these columns, so no key is one task's load.
     """
-    return with_previous(df, keys, t, "__prev", order).withColumn("is_hit", F.coalesce(F.col(t) - F.col("__prev") <= ttl_s, F.lit(False))).drop("__prev")
+    rows = df.groupBy(*keys, t, *order).agg(F.count(F.lit(1)).alias("__n"))
+    first = F.min(F.struct(*[F.col(c) for c in order])).alias("__first")
+    gone = by_second(df, keys, t).filter(F.col("before").isNull() | (F.col(t) - F.col("before") > ttl_s)).select(*keys, t)
+    missed = rows.groupBy(*keys, t).agg(first).join(gone, [*keys, t], "left_semi")
+    missed = missed.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, t])], *[F.col(f"__first.{c}").alias(f"__o{i}") for i, c in enumerate(order)], F.lit(True).alias("__missed"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*keys, t])] + [F.col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(order)]
+    joined = rows.join(missed, reduce(lambda a, b: a & b, same), "left")
+    hits = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda k: F.col("__missed").isNull() | (k > 1))
+    return joined.select(*keys, t, *order, F.explode(hits).alias("is_hit"))
+
+
+def cache_entries(df: DataFrame, keys: list[str], t: str, ttl_s: int = 900) -> DataFrame:
+    """(keys, put_s, last_s, n_hits): each entry of the cache, from the request that put it in to its last hit."""
+    named = df.select(F.to_json(F.struct(*keys)).alias("__key"), *keys, t)
+    found = sessions(named, "__key", t, gap_s=ttl_s)
+    read = F.from_json("actor", T.StructType([df.schema[k] for k in keys]))
+    return found.select(read.alias("k"), F.col("start_s").alias("put_s"), F.col("end_s").alias("last_s"), (F.col("n_events") - 1).alias("n_hits")).select("k.*", "put_s", "last_s", "n_hits")
+
+
+def ring_entries(df: DataFrame, key: str, t: str, order: list[str], n: int, flush: str | None = None, chunk_rows: int = ordered.CHUNK) -> DataFrame:
+    """(key STRING, t) of what a ring of n places holds in the end, with each entry's last time.
+
+    Requests come in order of t, then of `order`. A key that has a place refreshes its time and keeps its place; one
+    that has none, or has lost it, takes the place that was filled first. flush: a boolean column of rows that make
+    all entries old (time 0) instead.
+    """
+    rows = df.select(F.col(t).cast("long").alias("__t"), *order, F.col(key).cast("string").alias("__key"), (F.col(flush) if flush else F.lit(False)).alias("__flush"))
+    fold, skip = ordered.ring_fold(n), len(order)
+    state = ordered.folded(rows, ["__t", *order], lambda s, data: fold(s, [(r[0], *r[1 + skip :]) for r in data]), chunk_rows)
+    each = F.explode(F.from_json("state", "array<array<string>>")).alias("e")
+    return state.select(each).select(F.get("e", F.lit(0)).alias(key), F.get("e", F.lit(1)).cast("long").alias(t))
 
 
-def newest_entries(df: DataFrame, key: str, t: str, n: int) -> DataFrame:
-    """(key, t) of what a ring of n places holds in the end: the n keys that were first put in last.
+def ip_slots(df: DataFrame, client: str, t: str, most: int, expire_s: int = ACTIVE_S, tick_s: int = STATS_S, chunk_rows: int = ordered.CHUNK) -> DataFrame:
+    """(client STRING, last_s): who holds one of `most` slots after the last request, and since when unused.
 
-    A repeat refreshes an entry's age, not its place.
+    A client without a slot takes a free one or is refused; slots unused for more than expire_s are freed at each
+    tick. Of a client's requests within a tick the first decides and the last is its stamp, so only these are
+    folded, in order of time and name. Null clients ask for none.
     """
-    first = df.groupBy(key).agg(F.min(t).alias(t))
-    return first.orderBy(F.desc(t), F.asc(key)).limit(n)
+    tick = F.floor(F.col(t) / tick_s)
+    asked = df.filter(F.col(client).isNotNull()).groupBy(F.col(client).alias("__c"), tick.alias("__tick")).agg(F.min(t).alias("a"), F.max(t).alias("b"))
+    rows = asked.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("__t"), F.col("__c").cast("string").alias("__c"))
+    state = ordered.folded(rows, ["__t", "__c"], ordered.slot_fold(most, expire_s, tick_s), chunk_rows)
+    slots = F.from_json(F.get_json_object("state", "$.slots"), "map<string,bigint>")
+    return state.select(F.explode(slots).alias(client, "last_s"))
+
 
+def carried_values(df: DataFrame, keys: list[str], t: str, value: str, order: str) -> DataFrame:
+    """(keys, t, carried): for each second of a key the last value known up to its end, null before the first one.
 
-def admitted_clients(df: DataFrame, client: str, t: str, most: int) -> DataFrame:
-    """(client) of the first `most` different clients, by first time and then by name; the slots' limit is the feature."""
-    return df.filter(F.col(client).isNotNull()).groupBy(client).agg(F.min(t).alias("first")).orderBy("first", client).limit(most).select(client)
+    It is what a memo by connection tells a request that brings no value of its own. Of several values in a second
+    that of the largest `order` holds. Days of a key are at most 86,400 rows, joined by what each ends with.
+    """
+    known = F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col(order)))
+    seconds = df.groupBy(*keys, F.floor(F.col(t) / 86_400).alias("__day"), t).agg(known.alias("__v"))
+    own = Window.partitionBy(*keys, "__day").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    looked = seconds.select("*", F.last("__v", ignorenulls=True).over(own).alias("__own"))
+    days = seconds.groupBy(*keys, "__day").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(t))).alias("__d"))
+    past = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(*keys, "__day", F.last("__d", ignorenulls=True).over(past).alias("__past"))
+    return looked.join(carried, [*keys, "__day"]).select(*keys, t, F.coalesce("__own", "__past").alias("carried"))
 
 
 def active_clients(df: DataFrame, client: str, seconds: str, expire_s: int = ACTIVE_S, tick_s: int = STATS_S) -> DataFrame:
@@ -71,17 +118,26 @@ def active_clients(df: DataFrame, client: str, seconds: str, expire_s: int = ACT
     return ticks.withColumn("current", F.sum("d").over(running)).withColumn("peak", F.max("current").over(running)).drop("d")
 
 
-def violation_alerts(df: DataFrame, key: str, t: str, order: list[str], violations: int, threshold_s: int = 0) -> DataFrame:
+def violation_alerts(df: DataFrame, key: str, t: str, violations: int, threshold_s: int = 0) -> DataFrame:
     """(key, first, last, n): every run of `violations` rows of a key, if it took at most threshold_s (0: any time).
 
-    The counter starts anew after each run, alerted or not. Null keys don't count.
+    The counter starts anew after each run, alerted or not. Null keys don't count. t is in whole seconds, and rows
+    are counted by second, so a key with most rows is no task's whole load.
     """
     if violations < 1:
         raise ValueError("violations must be 1 or more")
-    rows = numbered(df.filter(F.col(key).isNotNull()), [key], t, "__k", order)
-    runs = rows.groupBy(key, F.floor((F.col("__k") - 1) / violations).alias("__run")).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count(F.lit(1)).alias("n"))
+    v = F.lit(violations)
+    seconds = by_second(df.filter(F.col(key).isNotNull()), [key], t)
+    # a second has the rows earlier + 1 to earlier + n; run r begins with row r v + 1 and ends with row (r + 1) v
+    begins = F.struct(F.ceil(F.col("earlier") / v).cast("long").alias("lo"), F.floor((F.col("earlier") + F.col("n") - 1) / v).cast("long").alias("hi"), F.lit(True).alias("opens"))
+    ends = F.struct(F.floor(F.col("earlier") / v).cast("long").alias("lo"), (F.floor((F.col("earlier") + F.col("n")) / v) - 1).cast("long").alias("hi"), F.lit(False).alias("opens"))
+    spans = seconds.select(key, t, F.inline(F.array(begins, ends))).filter("lo <= hi")
+    # in two steps, so that a second with very many rows makes no array of that length
+    parts = spans.select(key, t, "opens", "hi", F.explode(F.sequence("lo", "hi", F.lit(10_000).cast("long"))).alias("lo"))
+    runs = parts.select(key, t, "opens", F.explode(F.sequence("lo", F.least(F.col("lo") + 9_999, F.col("hi")))).alias("__run"))
+    both = runs.groupBy(key, "__run").agg(F.min(F.when(F.col("opens"), F.col(t))).alias("first"), F.max(F.when(~F.col("opens"), F.col(t))).alias("last"))
     quick = (F.col("last") - F.col("first") <= threshold_s) if threshold_s else F.lit(True)
-    return runs.filter((F.col("n") == violations) & quick).drop("__run")
+    return both.filter(F.col("last").isNotNull() & quick).select(key, "first", "last", v.cast("long").alias("n"))
 
 
 def token_alive(expires: Column, now: Column) -> Column:

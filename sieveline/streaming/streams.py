@@ -57,6 +57,18 @@ def clean_cache(stream: DataFrame, url: str, group: str, t: str, ttl_s: int = 90
     return keyed.groupBy("url", "grp").applyInPandasWithState(step, "url string, grp long, t_s long, is_hit boolean", "last long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def cache_entries(stream: DataFrame, url: str, group: str, t: str, ttl_s: int = 900) -> DataFrame:
+    """(url, grp, put_s, last_s, n_hits) of a stream with a watermark on t: each entry of the cache of clean urls.
+
+    An entry lives until its url wasn't asked for in its group for more than ttl_s, so it is a session: its first
+    request put it in, all others were hits. State is one row for each entry that lives, and all of it is native;
+    clean_cache judges request by request, in Python.
+    """
+    named = stream.select(F.col(url).alias("url"), F.col(group).cast("long").alias("grp"), F.col(t), F.unix_timestamp(t).alias("t_s"))
+    entries = named.groupBy("url", "grp", F.session_window(t, f"{ttl_s} seconds")).agg(F.min("t_s").alias("put_s"), F.max("t_s").alias("last_s"), (F.count(F.lit(1)) - 1).alias("n_hits"))
+    return entries.select("url", "grp", "put_s", "last_s", "n_hits")
+
+
 def violation_alerts(stream: DataFrame, key: str, t: str, violations: int, threshold_s: int = 0) -> DataFrame:
     """(key, first, last, n) as a stream with a watermark on t.
 
