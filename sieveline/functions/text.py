@@ -133,11 +133,15 @@ def percent_decode(c: Column) -> Column:
 
 
 def safe_decode(c: Column) -> Column:
-    """Decodes only %XX of letters, digits and the hyphen; one expression folded over the 63 codes."""
-    out = c
-    for code in [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x2D]:
-        out = F.regexp_replace(out, f"(?i)%{code:02x}", chr(code))
-    return F.when(c.contains("%"), out).otherwise(c)
+    """Decodes only %XX of letters, digits and the hyphen, in one pass: what is decoded is never decoded again.
+
+    The text is cut at "%"; each part after the first begins with the two digits, if they are any.
+    """
+    parts = F.split(c, "%")
+    plain = "(?i)^(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|2D)"
+    one = lambda x: F.when(x.rlike(plain), F.concat(F.char(F.conv(F.left(x, F.lit(2)), 16, 10).cast("long")), F.substring(x, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), x))
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.when(c.contains("%"), F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))).otherwise(c)
 
 
 def mini_url_encode(c: Column) -> Column:

@@ -80,12 +80,40 @@ def url_hits(facts: DataFrame, ids: list[str], key: Column, rules: DataFrame) ->
     return _hits_on_keys(url_keys(facts, ids, key), ids, rules)
 
 
-def extension_hits(facts: DataFrame, ids: list[str], name: Column, rules: DataFrame) -> DataFrame:
-    """(ids, item, category): the longest list extension that a file name or path ends with, without regard to case."""
+def extension_keys(name: Column) -> Column:
+    """The texts that an item of an extension list can equal, longest first; null for a name without a dot."""
     parts = F.split(F.regexp_extract(F.lower(name), r"([^/]*)$", 1), r"\.")
     n = F.size(parts)
-    ends = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k, n), "."))))
-    return _hits_on_keys(facts.select(*ids, ends.alias("__keys")), ids, rules)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(F.lit("."), F.array_join(F.slice(parts, k, n), "."))))
+
+
+def extension_hits(facts: DataFrame, ids: list[str], name: Column, rules: DataFrame) -> DataFrame:
+    """(ids, item, category): the longest list extension that a file name or path ends with, without regard to case."""
+    return _hits_on_keys(facts.select(*ids, extension_keys(name).alias("__keys")), ids, rules)
+
+
+def categorised(facts: DataFrame, ids: list[str], host: Column, key: Column, items: DataFrame, regexes: list[Regex] = ()) -> DataFrame:
+    """(ids, category) by the lists for logging: of the site (logsite), else the url (logurl), else the first expression.
+
+    One join of all keys with both lists and one shuffle; facts without a category don't come out.
+    """
+    looked = facts.select(*ids, host.alias("__h"), key.alias("__key"))
+    looked = looked.select(*ids, U.host_suffixes(F.col("__h")).alias("__sites"), "__key", first_regex(F.col("__key"), list(regexes)).alias("__r"))
+    keyed = url_keys(looked, [*ids, "__sites", "__r"], F.col("__key"))
+    empty = F.array().cast("array<string>")
+    tagged = lambda tag, c: F.coalesce(F.transform(c, lambda x: F.concat(F.lit(tag), x)), empty)
+    named = F.coalesce(*[F.when(F.col("__r") == r.ord, F.lit(r.category)) for r in regexes], F.lit(None).cast("string"))
+    # an expression's category is a key that meets nothing and is its own category
+    last = F.when(named.isNotNull(), F.array(F.concat(F.lit("r:"), named))).otherwise(empty)
+    rows = keyed.select(*ids, F.posexplode_outer(F.concat(tagged("s:", F.col("__sites")), tagged("u:", F.col("__keys")), last)).alias("__pos", "__k"))
+    tag = F.when(F.col("list_name") == "logsite", "s:").otherwise("u:")
+    rules = items.filter("list_name IN ('logsite', 'logurl')").groupBy(F.concat(tag, F.lower(F.trim("item"))).alias("__k")).agg(F.min("category").alias("category"))
+    # the first item of a list decides, also where it has no category; then the next list is asked
+    order = F.when(F.col("__k").startswith("s:"), 0).when(F.col("__k").startswith("u:"), 1).otherwise(2)
+    first = lambda k: F.min(F.when((order == k) & F.col("__hit"), F.struct("__pos", "category")))["category"]
+    known = rows.join(rules.withColumn("__hit", F.lit(True)), "__k", "left").withColumn("__hit", F.coalesce("__hit", F.col("__k").startswith("r:")))
+    known = known.withColumn("category", F.when(F.col("__k").startswith("r:"), F.substring("__k", 3, 1 << 30)).otherwise(F.col("category"))).filter("__hit")
+    return known.groupBy(*ids).agg(F.coalesce(first(0), first(1), first(2)).alias("category")).filter("category IS NOT NULL")
 
 
 def first_regex(value: Column, rules: list[Regex], ts: Column | None = None) -> Column:

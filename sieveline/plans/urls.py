@@ -17,6 +17,7 @@ from sieveline.plans.registry import QuerySet
 from sieveline.session import table
 from sieveline.sinks.log import params_column
 from sieveline.sources import http as H
+from sieveline.sources.lists import WEIGHTED, Phrase, PhraseBase
 
 Q = QuerySet()
 
@@ -72,7 +73,18 @@ def p11_canonical_url(spark, d):
     return df.select("req_id", U.canonical(F.col("target"), F.col("host"), F.col("method")).alias("url"))
 
 
-@Q.add("p10_decode_safe", f"SELECT log_id, replace(replace(replace(replace(url, '%2d', '-'), '%2D', '-'), '%41', 'A'), '%61', 'a') AS u FROM {_U}")
+_CODED = [(1, "%41%2d%7A%30"), (2, "%%341"), (3, "a%2Fb%20c%"), (4, "%4"), (5, "plain"), (6, "%2541"), (7, "%C3%A9%61"), (8, "")]
+_SAFE = ["A-z0", "%41", "a%2Fb%20c%", "%4", "plain", "%2541", "%C3%A9a", ""]
+
+
+@Q.add("p10_safe_fixture", f"SELECT id, u FROM {I.values_sql([(k, v) for (k, _), v in zip(_CODED, _SAFE)], 'id, u')}")
+def p10_safe_fixture(spark, d):
+    """Codes of letters, digits and hyphens only, each decoded once."""
+    return I.inline(spark, _CODED, "id int, t string").select("id", X.safe_decode(F.col("t")).alias("u"))
+
+
+# codes one by one in the order of their places, each looked at once
+@Q.add("p10_decode_safe", f"""SELECT log_id, array_to_string(list_transform(regexp_extract_all(url, '(?i)%(?:3[0-9]|4[1-9a-f]|5[0-9a]|6[1-9a-f]|7[0-9a]|2d)|%|[^%]+', 0), lambda x: CASE WHEN length(x) = 3 AND starts_with(x, '%') THEN url_decode(x) ELSE x END), '') AS u FROM {_U}""")
 def p10_decode_safe(spark, d):
     """Only letters, digits and hyphens decoded; other codes stay."""
     return _urls(spark, d).select("log_id", X.safe_decode(F.col("url")).alias("u"))
@@ -118,6 +130,9 @@ _RULES = lambda n: f"(SELECT lower(trim(item)) AS item, min(category) AS categor
 _SUFFIX = f"""(SELECT log_id, i, array_to_string(string_split(h, '.')[i:], '.') AS suffix FROM (SELECT log_id, {_SITE} AS h FROM {_U}), unnest(generate_series(1, len(string_split(h, '.')))) g(i))"""
 
 
+_REGEX_SQL = lambda rules: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(key, '(?is){r.pattern}') THEN {r.ord} END" for r in rules) + ")"
+
+
 @Q.add("j01_mime_in_list", f"SELECT log_id, item, category FROM (SELECT log_id, lower(mimetype) AS item FROM {_ONCE}) JOIN {_RULES('bannedmimetype')} USING (item)")
 def j01_mime_in_list(spark, d):
     """Exact look-up of types."""
@@ -152,9 +167,6 @@ def j04_extension_join(spark, d):
     return M.extension_hits(_urls(spark, d).filter(~F.col("url").contains("?")), ["log_id"], F.lower(F.substring_index("url", "#", 1)), rules)
 
 
-_REGEX_SQL = lambda rules: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(key, '(?is){r.pattern}') THEN {r.ord} END" for r in rules) + ")"
-
-
 @Q.add("f07_regex_url", f"SELECT log_id, {_REGEX_SQL(I.URL_REGEXES)} AS ord FROM {_KEYED} WHERE ord IS NOT NULL")
 def f07_regex_url(spark, d):
     """The first pattern that a url matches."""
@@ -190,15 +202,13 @@ def j05_ip_range_join(spark, d):
 
 
 @Q.add("j17_log_category", f"""WITH s AS (SELECT log_id, category FROM {_SUFFIX} s JOIN {_RULES('logsite')} r ON r.item = s.suffix QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY i) = 1),
- u AS (SELECT log_id, category FROM {_URL_HITS('logurl')})
- SELECT log_id, coalesce(s.category, u.category) AS category FROM s FULL JOIN u USING (log_id) WHERE coalesce(s.category, u.category) IS NOT NULL""")
+ u AS (SELECT log_id, category FROM {_URL_HITS('logurl')}),
+ r AS (SELECT log_id, {_REGEX_SQL(I.URL_REGEXES)} AS br FROM {_KEYED})
+ SELECT log_id, coalesce(s.category, u.category, CASE br {' '.join(f"WHEN {r.ord} THEN '{r.category}'" for r in I.URL_REGEXES)} END) AS category FROM r LEFT JOIN s USING (log_id) LEFT JOIN u USING (log_id)
+ WHERE coalesce(s.category, u.category) IS NOT NULL OR br IS NOT NULL""")
 def j17_log_category(spark, d):
-    """Category of the lists for logging: by site, else by url."""
-    rules, urls = table(spark, d, "rules_item"), _urls(spark, d)
-    site = M.site_hits(urls, ["log_id"], L.site_key(F.col("url")), rules.filter("list_name = 'logsite'")).select("log_id", F.lit(0).alias("o"), "category")
-    url = M.url_hits(urls, ["log_id"], U.list_key(F.col("url")), rules.filter("list_name = 'logurl'")).select("log_id", F.lit(1).alias("o"), "category")
-    both = site.unionByName(url).filter("category IS NOT NULL")
-    return both.groupBy("log_id").agg(F.min(F.struct("o", "category"))["category"].alias("category"))
+    """Category of the lists for logging: by site, else by url, else by expression."""
+    return M.categorised(_urls(spark, d), ["log_id"], L.site_key(F.col("url")), U.list_key(F.col("url")), table(spark, d, "rules_item"), I.URL_REGEXES)
 
 
 @Q.add("u03_banned_not_excepted", f"""SELECT DISTINCT log_id FROM {_SUFFIX} s JOIN {_RULES('bannedsite')} r ON r.item = s.suffix
@@ -233,20 +243,71 @@ def _site_list(n: str) -> str:
     return f"(SELECT log_id, item, category FROM {_SUFFIX} s JOIN {_RULES(n)} r ON r.item = s.suffix QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY i) = 1)"
 
 
-@Q.add("c05_request_verdict", f"""WITH k AS (SELECT log_id, key, {_REGEX_SQL(I.URL_REGEXES)} AS br, {_REGEX_SQL(I.EXCEPTION_REGEXES)} AS er FROM {_KEYED}),
+#: Options of the request chain that its queries use: search terms, header expressions, blanket flags, group modes, own server.
+SEARCH = V.Search(tuple(I.SEARCH_PATTERNS), PhraseBase([Phrase(("score",), WEIGHTED, 30, "Games")]), 25)
+HEADER_REGEXES = [I.Regex(0, "^user-agent: larkview/3[.]2", None, "Old clients"), I.Regex(1, "^x-none:", None, None)]
+FLAGS = {"bannedurl": ["*ips"], "greysite": ["*ip"]}
+_TERMS = f"(SELECT log_id, translate(url_decode(replace(regexp_extract(url, '(?i)[?&]q=([^&]*)', 1), '+', ' ')), chr(9) || ',;', '   ') AS t FROM {_U} WHERE regexp_matches(url, '(?i)[?&]q='))"
+_DU = f"""(SELECT log_id * 1000 + i AS log_id, 'http://' || regexp_replace(array_to_string(string_split(r, ':')[i:], ':'), '^[:/]+', '') AS url
+ FROM (SELECT log_id, url_decode(replace(substr(url, strpos(url, '://') + 3), '+', '%2B')) AS r FROM {_U}), unnest(generate_series(2, len(string_split(r, ':')))) g(i) WHERE regexp_replace(array_to_string(string_split(r, ':')[i:], ':'), '^[:/]+', '') <> '')"""
+
+
+def _inner(sql: str) -> str:
+    return sql.replace(_U, _DU)
+
+
+@Q.add("c05_request_verdict", f"""WITH k AS (SELECT log_id, key, how, {_REGEX_SQL(I.URL_REGEXES)} AS br, {_REGEX_SQL(I.EXCEPTION_REGEXES)} AS er, CASE WHEN starts_with(lower('User-Agent: ' || coalesce(user_agent, '')), 'user-agent: larkview/3.2') THEN 0 END AS hr,
+ coalesce(NOT regexp_matches({_SITE}, '[a-zA-Z|]'), false) AS is_ip, how IS NOT DISTINCT FROM 'CONNECT' AS ssl, CASE filter_group WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS mode, starts_with(regexp_extract(lower(trim(url, ' ')), '^(?:[a-z]+://)?([^/]*)', 1), 'cdn.brightloaf.example') AS own FROM {_KEYED}),
  bs AS {_site_list('bannedsite')}, gs AS {_site_list('greysite')}, es AS {_site_list('exceptionsite')}, bu AS {_URL_HITS('bannedurl')}, bi AS {_ip_list('bannedip')}, ei AS {_ip_list('exceptionip')},
- v AS (SELECT k.log_id, CASE WHEN ei.log_id IS NOT NULL THEN 600 WHEN es.log_id IS NOT NULL THEN 602 WHEN er IS NOT NULL THEN 609 WHEN bi.log_id IS NOT NULL THEN 100 WHEN gs.log_id IS NOT NULL THEN 0
- WHEN bs.log_id IS NOT NULL THEN 500 WHEN bu.log_id IS NOT NULL THEN 501 WHEN br IS NOT NULL THEN 503 ELSE 0 END AS code, es.item AS ei_, bs.item AS bi_, bu.item AS bu_, er, br
- FROM k LEFT JOIN bs USING (log_id) LEFT JOIN gs USING (log_id) LEFT JOIN es USING (log_id) LEFT JOIN bu USING (log_id) LEFT JOIN bi USING (log_id) LEFT JOIN ei USING (log_id))
- SELECT log_id, CASE WHEN code = 0 THEN 'clean' WHEN code >= 600 THEN 'exception' ELSE 'banned' END AS verdict, code,
- CASE code WHEN 602 THEN ei_ WHEN 500 THEN bi_ WHEN 501 THEN bu_ WHEN 503 THEN CAST(br AS VARCHAR) WHEN 609 THEN CAST(er AS VARCHAR) END AS item FROM v""")
+ st AS (SELECT log_id, (length(t) - length(replace(lower(t), 'score', ''))) // 5 * 30 AS score FROM {_TERMS}),
+ dh AS (SELECT log_id, 0 AS o, item FROM {_inner(_site_list('bannedsite'))} UNION ALL SELECT log_id, 1, item FROM {_inner(_URL_HITS('bannedurl'))}),
+ df AS (SELECT log_id FROM {_inner(_site_list('greysite'))} UNION SELECT log_id FROM {_inner(_site_list('exceptionsite'))}),
+ du AS (SELECT log_id // 1000 AS log_id, o, item FROM dh WHERE log_id NOT IN (SELECT log_id FROM df) QUALIFY row_number() OVER (PARTITION BY log_id // 1000 ORDER BY dh.log_id DESC, o) = 1),
+ v AS (SELECT k.log_id, CASE WHEN bi.log_id IS NOT NULL THEN 100 WHEN mode = 0 THEN 102 WHEN own THEN 1 WHEN mode = 2 THEN 601 WHEN ei.log_id IS NOT NULL THEN 600 WHEN es.log_id IS NOT NULL THEN 602 WHEN er IS NOT NULL THEN 609
+ WHEN score > 25 AND NOT ssl THEN 400 WHEN gs.log_id IS NOT NULL OR is_ip THEN 0 WHEN bs.log_id IS NOT NULL THEN 500 WHEN ssl AND is_ip THEN 5010 WHEN bu.log_id IS NOT NULL THEN 501 WHEN br IS NOT NULL THEN 503 WHEN hr IS NOT NULL THEN 508
+ WHEN o = 0 THEN 5000 WHEN o = 1 THEN 5011 ELSE 0 END AS code, es.item AS ei_, bs.item AS bi_, bu.item AS bu_, er, br, hr, score, du.item AS di
+ FROM k LEFT JOIN bs USING (log_id) LEFT JOIN gs USING (log_id) LEFT JOIN es USING (log_id) LEFT JOIN bu USING (log_id) LEFT JOIN bi USING (log_id) LEFT JOIN ei USING (log_id) LEFT JOIN st USING (log_id) LEFT JOIN du USING (log_id))
+ SELECT log_id, CASE WHEN code = 0 THEN 'clean' WHEN code = 1 THEN 'own' WHEN code BETWEEN 600 AND 699 THEN 'exception' ELSE 'banned' END AS verdict, CAST(CASE WHEN code >= 5000 THEN code // 10 WHEN code = 1 THEN 0 ELSE code END AS INTEGER) AS code,
+ CASE code WHEN 602 THEN ei_ WHEN 500 THEN bi_ WHEN 501 THEN bu_ WHEN 503 THEN CAST(br AS VARCHAR) WHEN 508 THEN CAST(hr AS VARCHAR) WHEN 609 THEN CAST(er AS VARCHAR) WHEN 400 THEN '25 : ' || score || ' (score)' WHEN 5000 THEN di WHEN 5011 THEN di WHEN 5010 THEN '*ips' END AS item FROM v""")
 def c05_request_verdict(spark, d):
-    """Verdict of every request: exceptions, clients, grey lists, sites, urls and expressions in their order."""
-    df = _urls(spark, d, "ip", "client_host")
-    out = V.request_verdicts(df, "log_id", table(spark, d, "rules_item"), table(spark, d, "rules_ip"), I.URL_REGEXES, I.EXCEPTION_REGEXES)
+    """Verdict of every request by the whole chain: clients, users, own server, exceptions, search terms, grey lists, sites, urls, expressions, headers and urls within."""
+    df = _urls(spark, d, "ip", "client_host", "how", "user_agent", "filter_group")
+    mode = F.when(F.col("filter_group") == 3, 0).when(F.col("filter_group") == 4, 2).otherwise(1)
+    headers = F.array(F.struct(F.lit("User-Agent").alias("name"), F.coalesce("user_agent", F.lit("")).alias("value")))
+    out = V.request_verdicts(
+        df, "log_id", table(spark, d, "rules_item"), table(spark, d, "rules_ip"), I.URL_REGEXES, I.EXCEPTION_REGEXES, group_mode=mode, is_ssl=F.col("how") == "CONNECT", headers=headers,
+        header_regexes=HEADER_REGEXES, flags=FLAGS, search=SEARCH, deep=True, own=M.own_server(F.col("url"), "cdn.brightloaf.example", 1),
+    )
     return out.select("log_id", "verdict", "code", "item")
 
 
+_CHAIN = [
+    (1, "http://bad.example/", "10.0.0.1", "GET", 1), (2, "http://good.example/", "10.0.0.1", "GET", 2), (3, "http://good.example/", "10.0.0.9", "GET", 0), (4, "http://own.example/x", "10.0.0.9", "GET", 1), (5, "http://good.example/", "10.0.0.9", "GET", 1),
+    (6, "http://grey.bad.example/?q=bad+word", "10.0.0.9", "GET", 1), (7, "https://grey.bad.example/?q=bad+word", "10.0.0.9", "CONNECT", 1), (8, "http://x.example/?u=http://bad.example/a", "10.0.0.9", "GET", 1), (9, "http://grey.bad.example/?u=http://bad.example/a", "10.0.0.9", "GET", 1),
+    (10, "http://x.example/?u=http://bad.example/&v=http://good.example/", "10.0.0.9", "GET", 1), (11, "http://x.example/?u=http://good.example/&v=ftp://y.example/part/1", "10.0.0.9", "GET", 1), (12, "https://192.0.2.1/", "10.0.0.9", "CONNECT", 1), (13, "http://192.0.2.1/", "10.0.0.9", "GET", 1),
+    (14, "http://x.example/tool", "10.0.0.9", "POST", 1), (15, "http://x.example/hidden", "10.0.0.9", "GET", 1), (16, None, None, None, None),
+]
+_CHAIN_OUT = [
+    (1, "banned", 100, None), (2, "banned", 100, None), (3, "banned", 102, None), (4, "own", 0, None), (5, "exception", 602, "good.example"), (6, "banned", 400, "10 : 20 (bad word)"), (7, "clean", 0, None), (8, "banned", 500, "bad.example"), (9, "clean", 0, None),
+    (10, "banned", 500, "bad.example"), (11, "banned", 501, "y.example/part"), (12, "banned", 500, "*ips"), (13, "clean", 0, None), (14, "banned", 508, "0"), (15, "banned", 503, "0"), (16, "clean", 0, None),
+]
+
+
+@Q.add("c05_chain_fixture", f"SELECT id, verdict, code, item FROM {I.values_sql(_CHAIN_OUT, 'id, verdict, code, item')}")
+def c05_chain_fixture(spark, d):
+    """Requests for each step of the chain, and where steps meet: a banned address at an exception site, grey sites with search terms, urls within."""
+    df = I.inline(spark, _CHAIN, "id int, url string, ip string, how string, mode int").withColumn("client_host", F.lit(None).cast("string"))
+    items = [("bannedsite", "bad.example", "B"), ("greysite", "grey.bad.example", None), ("exceptionsite", "good.example", None), ("bannedurl", "y.example/part", None)]
+    ips = [("bannedip", "ip", 167772161, 167772161, None, None)]
+    headers = F.array(F.struct(F.lit("How").alias("name"), F.coalesce("how", F.lit("")).alias("value")))
+    out = V.request_verdicts(
+        df, "id", I.inline(spark, items, "list_name string, item string, category string"), I.inline(spark, ips, "list_name string, kind string, lo long, hi long, host string, room string"), [I.Regex(0, "/hidden", None, "H")],
+        group_mode=F.col("mode"), is_ssl=F.col("how") == "CONNECT", headers=headers, header_regexes=[I.Regex(0, "^how: post")], flags={"bannedsite": ["*ips"]}, deep=True, own=M.own_server(F.col("url"), "own.example", 1),
+        search=V.Search(tuple(I.SEARCH_PATTERNS), PhraseBase([Phrase(("bad word",), WEIGHTED, 20)]), 10),
+    )
+    return out.select("id", "verdict", "code", "item")
+
+
 _EXT = rf"""(SELECT log_id, item FROM (SELECT log_id, regexp_extract(lower(split_part(split_part(url, '?', 1), '#', 1)), '([^/]*)$', 1) AS name FROM {_U} WHERE NOT contains(url, '?') OR contains(lower(mimetype), 'application/'))
  JOIN {_RULES('bannedextension')} ON ends_with(name, item) QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY length(item) DESC) = 1)"""
 
@@ -264,6 +325,17 @@ def c08_url_rewrite(spark, d):
     return _urls(spark, d).select("log_id", X.rewrite(F.col("url"), I.URL_REWRITES).alias("u"))
 
 
+_NEW = "regexp_replace(regexp_replace(regexp_replace(url, '^http://', 'https://', 'gi'), '([?&])s=[0-9a-f]+', '\\1s=0', 'gi'), ':3128/', '/', 'gi')"
+
+
+@Q.add("c08_rechecked_urls", f"""WITH n AS (SELECT log_id, {_NEW} AS url FROM {_U} WHERE {_NEW} <> url), es AS {_site_list('exceptionsite').replace(_U, 'n')}, er AS (SELECT log_id, {_REGEX_SQL(I.EXCEPTION_REGEXES)} AS er FROM {_KEYED.replace(_U, 'n')}), bi AS {_ip_list('bannedip')}
+ SELECT n.log_id, n.url, CASE WHEN bi.log_id IS NOT NULL THEN 0 WHEN es.log_id IS NOT NULL THEN 602 WHEN er IS NOT NULL THEN 609 ELSE 0 END AS code FROM n LEFT JOIN es USING (log_id) LEFT JOIN er USING (log_id) LEFT JOIN bi USING (log_id)""")
+def c08_rechecked_urls(spark, d):
+    """Urls that the replacements change, and the exceptions that hold for the new ones."""
+    df = _urls(spark, d, "ip", "client_host")
+    return V.rechecked(df, "log_id", I.URL_REWRITES, table(spark, d, "rules_item"), table(spark, d, "rules_ip"), I.EXCEPTION_REGEXES)
+
+
 @Q.add("c09_header_rewrite", f"SELECT log_id, regexp_replace('User-Agent: ' || user_agent, '^(user-agent: larkview)/[\\d.]+', '\\1/1', 'gi') AS line FROM {_ONCE} WHERE user_agent IS NOT NULL")
 def c09_header_rewrite(spark, d):
     lines = F.array(F.concat(F.lit("User-Agent: "), "user_agent"))
@@ -271,9 +343,6 @@ def c09_header_rewrite(spark, d):
     return df.select("log_id", F.get(F.transform(lines, lambda x: X.rewrite(x, I.HEADER_REWRITES)), F.lit(0)).alias("line"))
 
 
-_TERMS = f"(SELECT log_id, translate(url_decode(replace(regexp_extract(url, '(?i)[?&]q=([^&]*)', 1), '+', ' ')), chr(9) || ',;', '   ') AS t FROM {_U} WHERE regexp_matches(url, '(?i)[?&]q='))"
-
-
 @Q.add("sf18_search_terms", f"SELECT log_id, t AS terms, CASE WHEN t <> '' THEN '0=' || t || ';' ELSE '' END AS params FROM {_TERMS}")
 def sf18_search_terms(spark, d):
     terms = U.search_terms(F.col("url"), I.SEARCH_PATTERNS)
@@ -283,13 +352,7 @@ def sf18_search_terms(spark, d):
 @Q.add("c07_search_filter", f"SELECT log_id, CAST((length(' ' || lower(t) || ' ') - length(replace(' ' || lower(t) || ' ', 'score', ''))) / 5 * 30 AS BIGINT) AS score FROM {_TERMS} WHERE contains(lower(t), 'score')")
 def c07_search_filter(spark, d):
     """Search terms judged as texts of their own: padded with blanks, raw only, with a list and limit of their own."""
-    from sieveline.operators.phrases import score_texts
-    from sieveline.sources.lists import WEIGHTED, Phrase, PhraseBase
-
-    terms = F.concat(F.lit(" "), U.search_terms(F.col("url"), I.SEARCH_PATTERNS), F.lit(" "))
-    rows = _urls(spark, d).select("log_id", terms.alias("t")).filter("t IS NOT NULL")
-    out = score_texts(rows, "log_id", "t", PhraseBase([Phrase(("score",), WEIGHTED, 30, "Games")]), 25, filter_mode=0)
-    return out.filter("outcome = 'weighted'").select("log_id", "score")
+    return V.search_verdicts(_urls(spark, d), "log_id", SEARCH).filter("outcome = 'weighted'").select("log_id", "score")
 
 
 @Q.add("s26_urlencoded", f"SELECT log_id, url_decode(replace(' ' || array_to_string(list_transform(string_split(split_part(url, '?', 2), '&'), lambda x: CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE x END), ' ') || ' ', '+', ' ')) AS v FROM {_U} WHERE contains(url, '?')")
