@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
 from sieveline.operators import phrases as P
-from sieveline.operators.match import banned_links, embedded_urls, link_weights, page_links, plain_urls, site_hits
-from sieveline.functions.logfields import site_key
+from sieveline.operators.match import banned_links, link_weights, page_links, plain_urls
 from sieveline.plans import inline as I
 from sieveline.plans.registry import QuerySet
 from sieveline.session import table
@@ -213,44 +212,61 @@ _VERDICT = f"""{_CONTRIB}, v AS (SELECT doc_id, pass, max(label) FILTER (kind =
  FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.rn = 1 LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN ct ON ct.doc_id = k.doc_id AND ct.pass = k.pass"""
 
 
-@Q.add("c02_verdict", f"WITH {_VERDICT}")
-def c02_verdict(spark, d):
-    """Outcome, score, reason and categories of every document."""
+@Q.add("c02_phrases", f"WITH {_VERDICT}")
+def c02_phrases(spark, d):
+    """Outcome, score, reason and categories of every document by its phrases alone."""
     return P.score_texts(_documents(spark, d), "doc_id", "text", I.phrase_base(), LIMIT)
 
 
-@Q.add("sf12_rewrite", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?)://([a-z0-9.-]+)', '[\\2|\\1]', 'gi'), 'filter group', 'group', 'gi'), '\\bgroup (\\w+)', 'group <\\1>', 'gi'), 'jackpot', '', 'gi')) AS h FROM documents""")
-def sf12_rewrite(spark, d):
-    """Ordered replacements, each on the result of the one before."""
-    return _documents(spark, d).select("doc_id", F.md5(X.rewrite(F.col("text"), I.REWRITES)).alias("h"))
+#: Links of documents as (log_id, url), the id made of the document's and the link's place, for the look-ups' SQL.
+_LINKS = """(SELECT doc_id * 1000000 + i AS log_id, CASE WHEN regexp_matches(l[i], '(?i)^(?:https?|ftp)://') THEN l[i] WHEN starts_with(l[i], '/') THEN 'http://' || site || l[i] ELSE 'http://' || site || '/' || l[i] END AS url FROM
+ (SELECT doc_id, site, list_concat(regexp_extract_all(text, '(?i)["'']((?:https?|ftp)://[^"'']*)["'']', 1), list_filter(regexp_extract_all(text, '(?i)(?:href|src)\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: NOT contains(x, '://'))) AS l FROM documents), unnest(generate_series(1, len(l))) g(i))"""
+
 
+def _linked_sql() -> str:
+    """CTEs of the links that lists ban: lk (log_id, list_name, item)."""
+    from sieveline.plans import urls as R
 
-@Q.add("a07_embedded_urls", """SELECT doc_id, len(regexp_extract_all('<a href="' || coalesce(site, 'none') || '/x"> "http://' || coalesce(site, 'none') || '/"' || coalesce(text, ''), '(?i)["'']((?:https?|ftp)://[^"'']*)["'']', 1)) AS n FROM documents WHERE text IS NOT NULL""")
-def a07_embedded_urls(spark, d):
-    """Absolute urls in quotes, counted in pages that link the document's site; a07_embedded_weight weighs the banned ones."""
-    site = F.coalesce("site", F.lit("none"))
-    page = F.concat(F.lit('<a href="'), site, F.lit('/x"> "http://'), site, F.lit('/"'), F.coalesce("text", F.lit("")))
-    urls = F.filter(embedded_urls(page), lambda u: u.rlike("(?i)^(?:https?|ftp)://"))
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(urls).cast("long").alias("n"))
+    within = lambda sql: sql.replace(R._U, "links")
+    return f"""links AS {_LINKS}, lb AS (SELECT log_id, 'bannedsite' AS list_name, item, category FROM {within(R._site_list('bannedsite'))} UNION ALL SELECT log_id, 'bannedurl', item, category FROM {within(R._URL_HITS('bannedurl'))}),
+ lk AS (SELECT log_id, list_name, item FROM lb WHERE NOT coalesce(contains(category, 'ADs'), false) QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY list_name) = 1)"""
 
 
-@Q.add("j14_embedded_sites", """WITH r AS (SELECT lower(trim(item)) AS item, min(category) AS category FROM rules_item WHERE list_name = 'bannedsite' GROUP BY 1),
- u AS (SELECT DISTINCT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '(?i)https?://([a-z0-9.-]+)', 1))), '\\.$', '') AS host FROM documents),
- s AS (SELECT doc_id, host, i, array_to_string(string_split(host, '.')[i:], '.') AS suffix FROM u, unnest(generate_series(1, len(string_split(host, '.')) - 1)) g(i)),
- b AS (SELECT doc_id, host, item, category, row_number() OVER (PARTITION BY doc_id, host ORDER BY i) AS rn FROM s JOIN r ON item = suffix)
- SELECT doc_id, host, item FROM b WHERE rn = 1""")
-def j14_embedded_sites(spark, d):
-    """Banned sites among the hosts that a document's text names; j14_embedded_hits looks whole urls up."""
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit("(?i)(https?://[a-z0-9.-]+)"), F.lit(1)))
-    links = _documents(spark, d).select("doc_id", F.explode(names).alias("u")).select("doc_id", site_key(F.col("u")).alias("host")).distinct()
-    rules = table(spark, d, "rules_item").filter("list_name = 'bannedsite'")
-    return site_hits(links, ["doc_id", "host"], F.col("host"), rules).select("doc_id", "host", "item")
+def _weighed_sql() -> str:
+    """The verdict with embedded urls, 10 for each, in the contributions of every pass."""
+    weights = "lw AS (SELECT log_id // 1000000 AS doc_id, CAST(count(*) * 10 AS BIGINT) AS weight, '[' || string_agg(item, ' ' ORDER BY log_id, item) || ']' AS label FROM lk GROUP BY 1)"
+    both = f"{_linked_sql()}, {weights}, f AS (SELECT * FROM f0 UNION ALL SELECT doc_id, pass, label, 1, false, weight, 'Embedded URLs' FROM lw, (VALUES ('folded_raw'), ('folded_smart')) p(pass))"
+    return _VERDICT.replace(" f AS (SELECT doc_id, pass, phrase", " f0 AS (SELECT doc_id, pass, phrase").replace(", v AS (SELECT doc_id, pass, max(label)", f", {both}, v AS (SELECT doc_id, pass, max(label)")
+
+
+def _page_links(spark, d, mode: int = 1) -> DataFrame:
+    return link_weights(table(spark, d, "documents"), "doc_id", F.col("text"), _base(), table(spark, d, "rules_item"), 10, mode)
 
 
 def _base() -> Column:
     return F.concat(F.lit("http://"), F.col("site"), F.lit("/"))
 
 
+_LINKED_PAGES = [(1, '<a href="http://bad.example/x">', "a.example"), (2, "'http://shop.example/' <img src=\"/part/1\">", "y.example"), (3, '"http://bad.example/" "http://bad.example/2" <a href="part/2">', "y.example"), (4, "http://bad.example/", "a.example"), (5, None, None)]
+_LINK_RULES = [("bannedsite", "bad.example", "B"), ("bannedsite", "shop.example", "ADs"), ("bannedurl", "y.example/part", None)]
+
+
+@Q.add("a07_link_modes", f"SELECT id, weight, weight_2, label_2 FROM {I.values_sql([(1, 10, 10, '[bad.example]'), (2, 10, 10, '[y.example/part]'), (3, 30, 20, '[bad.example y.example/part]')], 'id, weight, weight_2, label_2')}")
+def a07_link_modes(spark, d):
+    """Weights of embedded urls for each hit, and in mode 2 for each different item; those of advertisements have none."""
+    df = I.inline(spark, _LINKED_PAGES, "id int, html string, site string")
+    rules = I.inline(spark, _LINK_RULES, "list_name string, item string, category string")
+    one, two = (link_weights(df, "id", F.col("html"), _base(), rules, 10, mode) for mode in (1, 2))
+    int_of = lambda c, n: F.col(c).cast("int").alias(n)
+    return one.select("id", int_of("weight", "weight")).join(two.select("id", int_of("weight", "weight_2"), F.col("label").alias("label_2")), "id")
+
+
+@Q.add("sf12_rewrite", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?)://([a-z0-9.-]+)', '[\\2|\\1]', 'gi'), 'filter group', 'group', 'gi'), '\\bgroup (\\w+)', 'group <\\1>', 'gi'), 'jackpot', '', 'gi')) AS h FROM documents""")
+def sf12_rewrite(spark, d):
+    """Ordered replacements, each on the result of the one before."""
+    return _documents(spark, d).select("doc_id", F.md5(X.rewrite(F.col("text"), I.REWRITES)).alias("h"))
+
+
 @Q.add("j14_embedded_hits")
 def j14_embedded_hits(spark, d):
     """Urls of a document, linked or in its text, that the banned site list or else the banned url list holds."""
@@ -258,11 +274,3 @@ def j14_embedded_hits(spark, d):
     urls = F.array_distinct(F.concat(linked, plain_urls(F.col("text"))))
     links = table(spark, d, "documents").select("doc_id", F.explode_outer(urls).alias("url")).filter("url IS NOT NULL")
     return banned_links(links, ["doc_id", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")
-
-
-@Q.add("a07_embedded_weight")
-def a07_embedded_weight(spark, d):
-    """Outcome and score of documents, banned links weighing 10 each."""
-    df = table(spark, d, "documents")
-    links = link_weights(df, "doc_id", F.col("text"), _base(), table(spark, d, "rules_item"), 10)
-    return P.score_texts(df, "doc_id", "text", I.phrase_base(), LIMIT, links=links).join(links.select("doc_id", "weight"), "doc_id", "left").select("doc_id", "outcome", "score", F.coalesce("weight", F.lit(0)).alias("weight"))

@@ -12,9 +12,7 @@ from sieveline.functions import url as U
 from sieveline.operators import match as M
 from sieveline.operators import scanners as SC
 from sieveline.operators import verdict as V
-from sieveline.operators.contentfilter import content_filter
 from sieveline.operators.packed import split_packed
-from sieveline.plans import content
 from sieveline.plans import inline as I
 from sieveline.plans.access import _ONCE, _SITE, _TRIM, _values_sql, DENIED, log_once
 from sieveline.plans.registry import QuerySet
@@ -162,13 +160,6 @@ def j18_message_lookup(spark, d):
     return log_once(spark, d, "code").join(messages.withColumnRenamed("key", "code"), "code", "left").select("log_id", "text")
 
 
-@Q.add("j16_category_names", "SELECT block_id, cat_id FROM deny_redirects JOIN (SELECT category, min(cat_id) AS cat_id FROM category_names GROUP BY 1) ON " + _TRIM('categories') + " = category")
-def j16_category_names(spark, d):
-    """Ids of known categories for fields that hold a single one; j16_category_ids reads every value."""
-    names = table(spark, d, "category_names").groupBy("category").agg(F.min("cat_id").alias("cat_id"))
-    return table(spark, d, "deny_redirects").select("block_id", L.trim_white(F.col("categories")).alias("category")).join(names, "category").select("block_id", "cat_id")
-
-
 @Q.add("j16_category_ids", f"""WITH d AS (SELECT block_id, list_filter({_values_sql("url_decode(replace(categories, '+', '%2B'))")}, lambda x: x <> 'N/A') AS v FROM deny_redirects WHERE {_TRIM('categories')} NOT IN ('', '-')),
  e AS (SELECT block_id, CAST(unnest(generate_series(1, len(v))) AS INTEGER) AS pos, unnest(v) AS val FROM d WHERE len(v) > 0)
  SELECT block_id, pos, cat_id FROM e JOIN (SELECT category, min(cat_id) AS cat_id FROM category_names GROUP BY 1) ON val = category""")
@@ -208,27 +199,6 @@ def x01_signature_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", scan(F.col("text"), (("proxy", "P"),))["code"].alias("code"))
 
 
-@Q.add("c06_content_filter", "SELECT doc_id, CASE WHEN text IS NULL OR octet_length(encode(text)) > 8192 THEN 'passed' WHEN contains(text, 'jackpot') THEN 'infected' ELSE 'checked' END AS stage FROM documents")
-def c06_content_filter(spark, d):
-    """The size gate with a small limit, then a scanner (F14); c06_content_stages has all stages."""
-    df = table(spark, d, "documents")
-    bad = SC.chain([SC.signature_scan(F.col("text"), (("jackpot", "J"),))])["code"] == SC.INFECTED
-    stage = F.when(F.col("text").isNull() | (V.scan_gate(F.octet_length("text"), 8, 8) == "unscanned"), "passed").when(bad, "infected").otherwise("checked")
-    return df.select("doc_id", stage.alias("stage"))
-
-
-_REWRITTEN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?)://([a-z0-9.-]+)', '[\2|\1]', 'gi'), 'filter group', 'group', 'gi'), '\bgroup (\w+)', 'group <\1>', 'gi'), 'jackpot', '', 'gi')"
-
-
-@Q.add("c06_content_stages", f"""SELECT doc_id, CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 'passed' WHEN octet_length(encode(text)) <= 20480000 AND contains(text, 'jackpot') THEN 'infected' WHEN octet_length(encode(text)) > 262144 THEN 'passed'
- WHEN outcome IN ('banned combination', 'banned', 'weighted') THEN 'banned' WHEN outcome IN ('combination exception', 'exception') THEN 'exception' WHEN {_REWRITTEN} <> text THEN 'rewritten' ELSE 'checked' END AS stage
- FROM documents JOIN (WITH {content._VERDICT}) USING (doc_id)""")
-def c06_content_stages(spark, d):
-    """All stages of the content filter with its default limits: size gates, scanner, phrase check, rewriting."""
-    df = table(spark, d, "documents").select("doc_id", "text")
-    return content_filter(df, "doc_id", "text", I.phrase_base(), content.LIMIT, (("jackpot", "J"),), I.REWRITES)
-
-
 @Q.add("x05_auth_users", f"SELECT id, usr FROM {I.values_sql([(1, 'user'), (2, 'mufasa'), (3, None), (4, None)], 'id, usr')}")
 def x05_auth_users(spark, d):
     """Users of basic and digest authorisation."""

@@ -24,15 +24,6 @@ from sieveline.sources.lists import BANNED, EXCEPTION, WEIGHTED, Phrase, PhraseB
 Q = QuerySet()
 
 
-@Q.add("c01_pass_scores", f"WITH {content._CONTRIB} SELECT doc_id, pass, CAST(coalesce(sum(weight) FILTER (kind = 1), 0) AS BIGINT) AS score, max(label) FILTER (kind = -1 AND NOT is_combi) IS NOT NULL AS has_exception FROM f GROUP BY ALL")
-def c01_pass_scores(spark, d):
-    """Every pass of every document judged on its own."""
-    found = content._found(spark, d)
-    return found.groupBy("doc_id", "pass").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == WEIGHTED, F.col("weight"))), F.lit(0).cast("long")).alias("score"), F.coalesce(F.max((F.col("kind") == EXCEPTION) & ~F.col("is_combi")), F.lit(False)).alias("has_exception")
-    )
-
-
 _ORDER = [(1, "clean", "nothing"), (2, "weighted", "win win"), (3, "banned", "win win bad"), (4, "banned combination", "b1 bad b2"), (5, "exception", "b1 bad b2 fine"), (6, "combination exception", "fine e1 bad e2")]
 
 
@@ -123,7 +114,7 @@ def u01_list_union(spark, d):
 
 #: Operators that are the same code as another one's, by the query that shows them.
 SAME = {
-    "c10_content_rewrite": "sf12_rewrite", "f05_extension_in_list": "j04_extension_join", "f06_mime_in_list": "j01_mime_in_list", "f14_size_limit": "c06_content_filter", "f18_bypass_token": "sf15_bypass",
+    "c10_content_rewrite": "sf12_rewrite", "f05_extension_in_list": "j04_extension_join", "f06_mime_in_list": "j01_mime_in_list", "f18_bypass_token": "sf15_bypass",
     "f19_scan_gates": "f15_text_only", "f21_ads_exemption": "k06_admission", "f22_label_limits": "c04_labels", "k12_list_cache": "s06_processed_cache", "k14_image_replacement": "c12_denial",
     "s02_nested_include": "s01_item_list", "s03_phrase_list": "s05_phrase_base", "s14_group_options": "s13_options", "s15_plugin_options": "s13_options", "s18_template": "k09_block_page", "s19_header_lines": "p13_headers",
     "sf06_replace_all": "sf05_collapse", "sf10_url_functions": "p12_url_key", "sf13_quick_search": "a01_phrase_count_builtin", "t06_token_expiry": "sf15_bypass", "t10_rule_freshness": "t08_reloaded_rules_stream",

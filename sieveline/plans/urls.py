@@ -229,12 +229,6 @@ def j15_deep_urls(spark, d):
     return I.inline(spark, _DEEP, "id int, url string").select("id", F.explode(M.deep_urls(F.col("url"))).alias("deep"))
 
 
-@Q.add("j15_deep_hits")
-def j15_deep_hits(spark, d):
-    """Requests with a banned url within their url, and the first of them."""
-    return M.deep_hits(_urls(spark, d), "log_id", F.col("url"), table(spark, d, "rules_item"))
-
-
 def _ip_list(n: str) -> str:
     return f"(SELECT DISTINCT log_id FROM {_IPS} JOIN rules_ip r ON r.list_name = '{n}' AND r.kind <> 'host' AND n BETWEEN lo AND hi UNION SELECT log_id FROM {_ONCE} a JOIN rules_ip r ON r.list_name = '{n}' AND r.kind = 'host' AND lower(a.client_host) = lower(r.host))"
 
@@ -256,6 +250,15 @@ def _inner(sql: str) -> str:
     return sql.replace(_U, _DU)
 
 
+@Q.add("j15_deep_hits", f"""WITH dh AS (SELECT log_id, 'bannedsite' AS list_name, item FROM {_inner(_site_list('bannedsite'))} UNION ALL SELECT log_id, 'bannedurl', item FROM {_inner(_URL_HITS('bannedurl'))}),
+ df AS (SELECT log_id FROM {_inner(_site_list('greysite'))} UNION SELECT log_id FROM {_inner(_site_list('exceptionsite'))}),
+ o AS (SELECT log_id, row_number() OVER (PARTITION BY log_id // 1000 ORDER BY log_id) - 1 AS pos, substr(url, 8) AS deep FROM {_DU})
+ SELECT log_id // 1000 AS log_id, CAST(pos AS INTEGER) AS pos, deep, list_name, item FROM dh JOIN o USING (log_id) WHERE log_id NOT IN (SELECT log_id FROM df) QUALIFY row_number() OVER (PARTITION BY log_id // 1000 ORDER BY dh.log_id, list_name) = 1""")
+def j15_deep_hits(spark, d):
+    """Requests with a banned url within their url, and the first of them."""
+    return M.deep_hits(_urls(spark, d), "log_id", F.col("url"), table(spark, d, "rules_item"))
+
+
 @Q.add("c05_request_verdict", f"""WITH k AS (SELECT log_id, key, how, {_REGEX_SQL(I.URL_REGEXES)} AS br, {_REGEX_SQL(I.EXCEPTION_REGEXES)} AS er, CASE WHEN starts_with(lower('User-Agent: ' || coalesce(user_agent, '')), 'user-agent: larkview/3.2') THEN 0 END AS hr,
  coalesce(NOT regexp_matches({_SITE}, '[a-zA-Z|]'), false) AS is_ip, how IS NOT DISTINCT FROM 'CONNECT' AS ssl, CASE filter_group WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS mode, starts_with(regexp_extract(lower(trim(url, ' ')), '^(?:[a-z]+://)?([^/]*)', 1), 'cdn.brightloaf.example') AS own FROM {_KEYED}),
  bs AS {_site_list('bannedsite')}, gs AS {_site_list('greysite')}, es AS {_site_list('exceptionsite')}, bu AS {_URL_HITS('bannedurl')}, bi AS {_ip_list('bannedip')}, ei AS {_ip_list('exceptionip')},

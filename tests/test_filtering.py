@@ -148,16 +148,18 @@ def test_request_verdicts(spark):
     ips = spark.createDataFrame([("bannedip", "ip", 167772161, 167772161, None, None), ("rooms", "ip", 167772161, 167772161, None, "hall"), ("exceptionip", "ip", 167772162, 167772162, None, None), ("bannedip", "host", None, None, "PC.example", None)], "list_name string, kind string, lo long, hi long, host string, room string")
     rows = [
         (1, "http://bad.example/", "10.0.0.9", None), (2, "http://a.grey.bad.example/", "10.0.0.9", None), (3, "http://ok.bad.example/", "10.0.0.1", None), (4, "http://half.example/x?q", "10.0.0.9", None), (5, "http://half.example/x/y/1", "10.0.0.9", None),
-        (6, "http://half.example/x/z", "10.0.0.9", None), (7, "http://fine.example/", "10.0.0.1", None), (8, "http://bad.example/", "10.0.0.2", None), (9, "http://fine.example/", None, "pc.Example"), (10, "http://grey.bad.example/evil", "10.0.0.9", None), (11, None, None, None),
+        (6, "http://half.example/x/z", "10.0.0.9", None), (7, "http://fine.example/", "10.0.0.1", None), (8, "http://bad.example/", "10.0.0.2", None), (9, "http://fine.example/", None, "pc.Example"), (10, "http://grey.bad.example/evil", "10.0.0.9", None), (11, None, None, None), (12, "http://ok.bad.example/", "10.0.0.9", None),
     ]
     df = spark.createDataFrame(rows, "id int, url string, ip string, client_host string")
     got = {r["id"]: (r["code"], r["item"], r["category"]) for r in V.request_verdicts(df, "id", items, ips, [Regex(0, "evil", None, "R")]).collect()}
-    assert got[1] == (500, "bad.example", "B") and got[2][0] == 0 and got[3] == (602, "ok.bad.example", "X") and got[4] == (501, "half.example/x", "U")
+    assert got[1] == (500, "bad.example", "B") and got[2][0] == 0 and got[12] == (602, "ok.bad.example", "X") and got[4] == (501, "half.example/x", "U")
+    # being a banned client overrides that a site is in the exception lists
+    assert got[3] == (100, None, "Banned Room")
     assert got[5][0] == 0 and got[6][0] == 603 and got[7] == (100, None, "Banned Room") and got[8][0] == 600 and got[9] == (100, None, "Banned Client IP") and got[10][0] == 0 and got[11][0] == 0
     over = {r["id"]: r["code"] for r in V.request_verdicts(df, "id", items, ips, [Regex(0, "evil", None, "R")], regex_over_grey=True).collect()}
     assert over[10] == 503
     modes = {r["id"]: r["code"] for r in V.request_verdicts(df, "id", items, ips, group_mode=F.when(F.col("id") == 1, 2).otherwise(0)).collect()}
-    assert modes[1] == 601 and modes[2] == 102
+    assert modes[1] == 601 and modes[2] == 102 and modes[3] == 100
 
 
 def test_time_limits_in_verdicts(spark):
@@ -183,34 +185,12 @@ def test_download_verdicts(spark):
     assert {r["id"]: r["code"] for r in V.download_verdicts(df, "id", items, block_all=True).collect()}[4] == 750
 
 
-def brute_previous(rows, ttl):
-    last, out = {}, {}
-    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
-        out[i] = k in last and t - last[k] <= ttl
-        last[k] = t
-    return out
-
-
-@pytest.mark.parametrize("chunk", [5, 50, 86_400])
-def test_state_in_chunks(spark, chunk):
-    rng = random.Random(chunk)
-    rows = [(rng.choice("aab"), rng.randrange(200), i) for i in range(150)]
-    df = spark.createDataFrame(rows, "k string, t long, i int")
-    got = ST.with_previous(df, ["k"], "t", "p", ["i"], chunk).collect()
-    assert {r["i"]: r["p"] is not None and r["t"] - r["p"] <= 7 for r in got} == brute_previous(rows, 7)
-    seen, want = Counter(), {}
-    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
-        seen[k] += 1
-        want[i] = seen[k]
-    assert {r["i"]: r["n"] for r in ST.numbered(df, ["k"], "t", "n", ["i"], chunk).collect()} == want
-
-
 def test_violations(spark):
     rows = [("u", t, i) for i, t in enumerate([0, 5, 9, 100, 300, 900, 901])] + [(None, 1, 90), ("v", 1, 91)]
     df = spark.createDataFrame(rows, "u string, t long, i int")
-    got = {(r["u"], r["first"], r["last"]) for r in ST.violation_alerts(df, "u", "t", ["i"], 3, 50).collect()}
+    got = {(r["u"], r["first"], r["last"]) for r in ST.violation_alerts(df, "u", "t", 3, 50).collect()}
     assert got == {("u", 0, 9)}
-    assert ST.violation_alerts(df, "u", "t", ["i"], 3).count() == 2
+    assert ST.violation_alerts(df, "u", "t", 3).count() == 2
 
 
 def test_active_clients(spark):
