@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import md5_upper
-from sieveline.operators.match import ip_hits
+from sieveline.functions.text import md5_upper, mini_url_encode
+from sieveline.operators.match import address_keys, ip_hits, range_keys
 
 _RANK = lambda kind: F.when(kind == "ip", 0).when(kind == "subnet", 1).when(kind == "range", 2).otherwise(3)
 
@@ -51,6 +51,24 @@ def resolved_group(user_group: Column, ip_group: Column, default: int = 0) -> Co
     return F.coalesce(user_group, ip_group, F.lit(default))
 
 
+def groups_by_user_or_address(facts: DataFrame, id_col: str, user: str, ip: Column, named: DataFrame, rules: DataFrame, default: int = 0) -> DataFrame:
+    """(id, grp): the user's group (named: user column, ug), else the best of the address's, else the default.
+
+    Facts are read once: each makes the keys of its user and address and one that meets nothing, all in one join
+    with both tables; what is left is partially aggregated and shuffled once.
+    """
+    keys = F.array(F.concat(F.lit("-:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.concat(F.lit("u:"), F.col(user)))
+    spread = F.transform(address_keys(F.col("__n")), lambda x: F.concat(F.lit("n:"), x))
+    every = F.concat(keys, F.coalesce(spread, F.array().cast("array<string>")))
+    own = facts.select(id_col, user, ip.alias("__n")).select(id_col, "__n", F.explode_outer(every).alias("__k")).filter("__k IS NOT NULL")
+    ranges = range_keys(rules.filter("kind <> 'host' AND grp IS NOT NULL"), ["kind", "grp", "lo", "hi"])
+    of_users = named.select(F.concat(F.lit("u:"), F.col(user)).alias("__k"), F.lit(-1).alias("r"), F.col("ug").alias("grp"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    every_rule = of_users.unionByName(ranges.select(F.concat(F.lit("n:"), "key").alias("__k"), _RANK(F.col("kind")).alias("r"), "grp", "lo", "hi"))
+    met = own.join(every_rule, "__k", "left").filter(F.col("__k").startswith("-:") | (F.col("r").isNotNull() & (F.col("lo").isNull() | F.col("__n").between(F.col("lo"), F.col("hi")))))
+    best = F.min(F.when(F.col("r").isNotNull(), F.struct("r", "grp")))["grp"]
+    return met.groupBy(id_col).agg(F.coalesce(best, F.lit(default)).alias("grp"))
+
+
 def bypass_token(url: Column, magic: str, ip: Column, expires: Column, user: Column | None = None) -> Column:
     """The url with its token: an upper-case MD5 and the expiry in seconds."""
     parts = [url, F.lit(magic), ip, expires.cast("string")] + ([user] if user is not None else [])
@@ -64,3 +82,44 @@ def bypass_holds(url_with_token: Column, magic: str, ip: Column, now: Column) ->
     token = F.regexp_extract(url_with_token, "[?&]GBYPASS=([0-9A-F]{32})(\\d+)$", 1)
     expires = F.regexp_extract(url_with_token, "[?&]GBYPASS=([0-9A-F]{32})(\\d+)$", 2)
     return F.coalesce((token != "") & (token == md5_upper(url, F.lit(magic), ip, expires)) & (expires.try_cast("bigint") >= now), F.lit(False))
+
+
+def bypass_cookie(domain: Column, magic: str, ip: Column, expires: Column) -> Column:
+    """The value of a bypass cookie for a domain: an upper-case MD5 and the expiry in seconds."""
+    return F.concat(md5_upper(domain, F.lit(magic), ip, expires.cast("string")), expires.cast("string"))
+
+
+def cookie_holds(cookie: Column, domain: Column, magic: str, ip: Column, now: Column) -> Column:
+    """Whether a cookie is one for the domain, or for a domain above it, and the address, and hasn't expired."""
+    expires = F.regexp_extract(cookie, "^[0-9A-F]{32}(\\d+)$", 1)
+    hashed = F.left(cookie, F.lit(32))
+    labels = F.split(domain, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    own = F.exists(above, lambda d: md5_upper(d, F.lit(magic), ip, expires) == hashed)
+    return F.coalesce((expires != "") & own & (expires.try_cast("bigint") >= now), F.lit(False))
+
+
+def scan_link(url: Column, magic: str, ip: Column, name: Column, mimetype: Column, disposition: Column) -> Column:
+    """The url by which a client fetches a scanned download: hash, file name, type and encoded disposition."""
+    coded = mini_url_encode(disposition)
+    hashed = md5_upper(ip, url, name, mimetype, coded, F.lit(magic))
+    whole = F.when(F.regexp_extract(url, "://(.*)$", 1).contains("/"), url).otherwise(F.concat(url, F.lit("/")))
+    mark = F.when(whole.contains("?"), "&GSBYPASS=").otherwise("?GSBYPASS=")
+    return F.concat(whole, mark, hashed, F.lit("&N="), name, F.lit("&M="), mimetype, F.lit("&D="), coded)
+
+
+def scan_link_holds(link: Column, magic: str, ip: Column) -> Column:
+    """Whether a link is one of scan_link for the address; false for any other url."""
+    parts = r"^(.*)[?&]GSBYPASS=([0-9A-F]{32})&N=(.*?)&M=(.*?)&D=(.*)$"
+    url, hashed, name, mimetype, coded = (F.regexp_extract(link, parts, k) for k in range(1, 6))
+    same = lambda u: md5_upper(ip, u, name, mimetype, coded, F.lit(magic)) == hashed
+    return F.coalesce((hashed != "") & (same(url) | same(F.regexp_replace(url, "/$", ""))), F.lit(False))
+
+
+def reverse_names(facts: DataFrame, ids: list[str], ip: Column, dns: DataFrame) -> DataFrame:
+    """(ids, name): the names of addresses by a table (ip, host), since no look-up can be made; several names come out each.
+
+    Names are in lower case, without a final dot. Addresses without a name give no rows; null ones neither.
+    """
+    named = dns.filter("ip IS NOT NULL AND host IS NOT NULL").select("ip", F.regexp_replace(F.lower(F.trim("host")), r"\.$", "").alias("name")).filter("name <> ''").distinct()
+    return facts.select(*ids, ip.alias("ip")).join(named, "ip").select(*ids, "name")

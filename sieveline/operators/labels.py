@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import small_join
+
 #: The rating services and their labels. Fixed values.
 SERVICES = {
     "evaluweb": "rating",
@@ -45,7 +47,7 @@ def exceeded(pages: DataFrame, id_col: str, html: str, limits: DataFrame) -> Dat
     pairs = F.regexp_extract_all("rating", F.lit("([a-z0-9]+ -?[0-9]+)"), F.lit(1))
     named = each.select(id_col, F.col("service").alias("text"), F.explode(pairs).alias("p")).select(id_col, "text", F.substring_index("p", " ", 1).alias("label"), F.substring_index("p", " ", -1).cast("int").alias("value"))
     return (
-        named.join(F.broadcast(limits), "label")  # a row for each label of the services
+        small_join(named, limits, ["label"], "inner")
         .filter(F.col("text").contains(F.col("service")) & (F.col("value") > F.col("max_level")))
         .select(id_col, "service", "label", "value", "max_level")
     )

@@ -65,9 +65,14 @@ def phrase_hits(df: DataFrame, keys: list[str], text: str, needles: list[str], f
     return (_builtin_hits if len(needles) <= few else _automaton_hits)(df, keys, text, needles)
 
 
+#: Rules up to which a base is broadcast.
+BROADCAST_RULES = 1_000_000
+
+
 def _literals(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A rule base on the driver as a table; it is as large as the lists that were read, so it is broadcast."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    """A rule base on the driver as a table, broadcast up to BROADCAST_RULES; a larger one is left to a shuffle."""
+    rules = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(rules) if len(rows) <= BROADCAST_RULES else rules
 
 
 def combi_hits(hits: DataFrame, keys: list[str], base: PhraseBase) -> DataFrame:

@@ -265,12 +265,3 @@ def a07_link_modes(spark, d):
 def sf12_rewrite(spark, d):
     """Ordered replacements, each on the result of the one before."""
     return _documents(spark, d).select("doc_id", F.md5(X.rewrite(F.col("text"), I.REWRITES)).alias("h"))
-
-
-@Q.add("j14_embedded_hits")
-def j14_embedded_hits(spark, d):
-    """Urls of a document, linked or in its text, that the banned site list or else the banned url list holds."""
-    linked = F.transform(page_links(F.col("text"), _base()), lambda x: x["url"])
-    urls = F.array_distinct(F.concat(linked, plain_urls(F.col("text"))))
-    links = table(spark, d, "documents").select("doc_id", F.explode_outer(urls).alias("url")).filter("url IS NOT NULL")
-    return banned_links(links, ["doc_id", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")

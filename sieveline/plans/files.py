@@ -192,23 +192,6 @@ def f16_scan_exempt(spark, d):
     return df.filter(wants).select("log_id")
 
 
-@Q.add("x01_signature_scan", "SELECT doc_id, CASE WHEN contains(text, 'proxy') THEN 1 ELSE 0 END AS code FROM documents")
-def x01_signature_scan(spark, d):
-    """A registered scanner by its name."""
-    scan = SC.scanner("signature")
-    return table(spark, d, "documents").select("doc_id", scan(F.col("text"), (("proxy", "P"),))["code"].alias("code"))
-
-
-@Q.add("x05_auth_users", f"SELECT id, usr FROM {I.values_sql([(1, 'user'), (2, 'mufasa'), (3, None), (4, None)], 'id, usr')}")
-def x05_auth_users(spark, d):
-    """Users of basic and digest authorisation."""
-    rows = [(1, "Proxy-Authorization: Basic dXNlcjpwdw=="), (2, 'Proxy-Authorization: Digest username="mufasa", realm="x"'), (3, "Host: h"), (4, "Proxy-Authorization: Basic !!")]
-    h = H.header_lines(F.col("block"))
-    return I.inline(spark, rows, "id int, block string").select("id", F.coalesce(H.basic_user(h), H.digest_user(h)).alias("usr"))
-
-
-
-
 @Q.add("sf01_case", "SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS l, md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS u FROM documents")
 def sf01_case(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.ascii_lower(F.col("text"))).alias("l"), F.md5(X.ascii_upper(F.col("text"))).alias("u"))
@@ -258,26 +241,9 @@ def sf11_regex_groups(spark, d):
     return _urls(spark, d).select("log_id", F.explode_outer(F.regexp_extract_all("url", F.lit("(?is)([?&])([a-z]+)="), F.lit(2))).alias("name")).filter("name IS NOT NULL")
 
 
-@Q.add("sf17_reverse_dns", "SELECT log_id, n FROM (SELECT log_id, client_host FROM " + _ONCE + ") JOIN (SELECT client_host, count(*) AS n FROM " + _ONCE + " WHERE client_host IS NOT NULL GROUP BY 1) USING (client_host)")
-def sf17_reverse_dns(spark, d):
-    """Names of clients come from a table, since no look-up can be made: here with how often each is known."""
-    log = log_once(spark, d, "client_host")
-    names = log.filter("client_host IS NOT NULL").groupBy("client_host").agg(F.count(F.lit(1)).alias("n"))
-    return log.join(names, "client_host").select("log_id", "n")
-
-
 @Q.add("k11_store_blocked", f"SELECT naughty_type, count(*) AS n FROM {_ONCE} WHERE is_naughty GROUP BY 1")
 def k11_store_blocked(spark, d):
     """Blocked rows written by kind and read back."""
     path = shared_folder(spark)
     K.store_blocked(log_once(spark, d, "naughty_type", "is_naughty", "url").filter("is_naughty"), path, "naughty_type")
     return spark.read.schema("log_id long, is_naughty boolean, url string, naughty_type int").parquet(path).groupBy("naughty_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@Q.add("k13_alert_rows", f"SELECT log_id, 'Where: ' || coalesce(url, '') || chr(10) || 'Why: ' || coalesce(what, '') AS report FROM {_ONCE} WHERE is_naughty")
-def k13_alert_rows(spark, d):
-    """What a notification would say, as rows; no mail is sent."""
-    df = log_once(spark, d, "url", "what", "is_naughty").filter("is_naughty")
-    return df.select("log_id", F.concat(F.lit("Where: "), F.coalesce("url", F.lit("")), F.lit("\nWhy: "), F.coalesce("what", F.lit(""))).alias("report"))
-
-

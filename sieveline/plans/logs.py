@@ -16,11 +16,12 @@ from sieveline.operators import identity as ID
 from sieveline.operators import labels as LB
 from sieveline.operators import scanners as SC
 from sieveline.operators import verdict as V
+from sieveline.operators.match import site_keys
 from sieveline.plans import inline as I
 from sieveline.plans.access import _IP, _ONCE, _SITE, _TRIM, _USER, _WHEN, log_once
 from sieveline.plans.registry import QuerySet
 from sieveline.plans.streams import _ALERTS, _ENTRIES, _HITS, _REQ
-from sieveline.plans.urls import _IPS
+from sieveline.plans.urls import _IPS, _SUFFIX
 from sieveline.session import table
 from sieveline.sinks import log as K
 from sieveline.sources import http as H
@@ -32,12 +33,13 @@ Q = QuerySet()
 _IN_TIME = "(tl IS NULL OR (contains(tl.days, CAST(isodow(start_ts) - 1 AS VARCHAR)) AND hour(start_ts) * 60 + minute(start_ts) BETWEEN tl.sth * 60 + tl.stm AND tl.enh * 60 + tl.enm))"
 
 
-@Q.add("f01_time_window", f"SELECT DISTINCT log_id, item FROM (SELECT log_id, start_ts, {_SITE} AS h FROM {_ONCE} WHERE start_ts IS NOT NULL) a JOIN (SELECT lower(trim(item)) AS item, tl FROM rules_item WHERE list_name = 'bannedsite') r ON h = item WHERE {_IN_TIME}")
+@Q.add("f01_time_window", f"SELECT DISTINCT log_id, item FROM {_SUFFIX} s JOIN (SELECT lower(trim(item)) AS item, tl FROM rules_item WHERE list_name = 'bannedsite') r ON suffix = item JOIN (SELECT log_id, start_ts FROM {_ONCE} WHERE start_ts IS NOT NULL) USING (log_id) WHERE {_IN_TIME}")
 def f01_time_window(spark, d):
-    """Banned sites by rules that hold at the request's own time."""
-    log = log_once(spark, d, L.site_key(F.col("url")).alias("item"), "start_ts").filter("start_ts IS NOT NULL")
+    """Banned sites, and domains below them, by rules that hold at the request's own time."""
+    log = log_once(spark, d, L.site_key(F.col("url")).alias("host"), "start_ts").filter("start_ts IS NOT NULL")
+    keys = site_keys(log, ["log_id", "start_ts"], F.col("host")).select("log_id", "start_ts", F.posexplode_outer("__keys").alias("pos", "item"))
     rules = table(spark, d, "rules_item").filter("list_name = 'bannedsite'").select(F.lower(F.trim("item")).alias("item"), "tl")
-    return log.join(rules, "item").filter(in_time(F.col("tl"), F.col("start_ts"))).select("log_id", "item").distinct()
+    return keys.join(rules, "item").filter(in_time(F.col("tl"), F.col("start_ts"))).select("log_id", "item").distinct()
 
 
 _GROUPS = "(SELECT DISTINCT ON (log_id) log_id, grp FROM {0} JOIN rules_ip ON n BETWEEN lo AND hi WHERE grp IS NOT NULL AND kind <> 'host' ORDER BY log_id, CASE kind WHEN 'ip' THEN 0 WHEN 'subnet' THEN 1 ELSE 2 END, grp)"
@@ -64,8 +66,7 @@ def c13_resolved_group(spark, d):
     """The group by user, else by address, else the first."""
     log = log_once(spark, d, L.user_key(F.col("user_name")).alias("u"), L.ip_key(F.col("ip")).alias("ip"))
     named = table(spark, d, "user_group").filter("grp IS NOT NULL").groupBy(L.user_key(F.col("user_name")).alias("u")).agg(F.min("grp").alias("ug")).filter("u IS NOT NULL")
-    by_ip = ID.ip_groups(log, ["log_id"], U.ip_number(F.col("ip")), table(spark, d, "rules_ip")).withColumnRenamed("grp", "ig")
-    return log.join(named, "u", "left").join(by_ip, "log_id", "left").select("log_id", ID.resolved_group(F.col("ug"), F.col("ig"), 1).alias("grp"))
+    return ID.groups_by_user_or_address(log, "log_id", "u", U.ip_number(F.col("ip")), named, table(spark, d, "rules_ip"), 1)
 
 
 _ROOMS = f"""(SELECT log_id, min(room) AS room FROM (SELECT log_id, room FROM {_IPS} JOIN rules_ip ON list_name = 'rooms' AND kind <> 'host' AND n BETWEEN lo AND hi

@@ -30,11 +30,18 @@ def c02_verdict(spark, d):
     return check_pages(table(spark, d, "documents"), "doc_id", "text", I.phrase_base(), C.LIMIT, label_limits=_limits(spark), links=C._page_links(spark, d))
 
 
-@Q.add("j14_embedded_links", f"WITH {C._linked_sql()} SELECT log_id // 1000000 AS doc_id, url, list_name, item FROM lk JOIN links USING (log_id)")
-def j14_embedded_links(spark, d):
-    """Links of documents, absolute and relative, that the banned site list or else the banned url list holds."""
-    links = table(spark, d, "documents").select("doc_id", F.posexplode_outer(C.page_links(F.col("text"), C._base())).alias("place", "l")).select("doc_id", "place", "l.url").filter("url IS NOT NULL")
-    return C.banned_links(links, ["doc_id", "place", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")
+_PLAIN = r'''regexp_extract_all(text, '(?i)((?:https?|ftp)://[^ \t\r\n"''<>]*[^ \t\r\n"''<>.,;:!?)\]])', 1)'''
+#: Links and plain urls of documents, each once, numbered.
+_NAMED = f"SELECT row_number() OVER (ORDER BY doc_id, url) AS log_id, doc_id, url FROM (SELECT log_id // 1000000 AS doc_id, url FROM {C._LINKS} WHERE url IS NOT NULL UNION SELECT doc_id, unnest({_PLAIN}) FROM documents)"
+
+
+@Q.add("j14_embedded_hits", f"WITH {C._linked_sql().replace(C._LINKS, '(' + _NAMED + ')')} SELECT doc_id, url, list_name, item FROM lk JOIN links USING (log_id)")
+def j14_embedded_hits(spark, d):
+    """Urls of a document, linked or in its text, that the banned site list or else the banned url list holds."""
+    linked = F.transform(C.page_links(F.col("text"), C._base()), lambda x: x["url"])
+    urls = F.array_distinct(F.concat(linked, C.plain_urls(F.col("text"))))
+    links = table(spark, d, "documents").select("doc_id", F.explode_outer(urls).alias("url")).filter("url IS NOT NULL")
+    return C.banned_links(links, ["doc_id", "url"], "url", table(spark, d, "rules_item")).select("doc_id", "url", "list_name", "item")
 
 
 @Q.add("a07_embedded_weight", f"WITH {C._linked_sql()} SELECT log_id // 1000000 AS doc_id, CAST(count(*) * 10 AS BIGINT) AS weight FROM lk GROUP BY 1")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -53,6 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever file system it lies in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream of files; ts is the logged time."""
     df = table(spark, d, "access_log")
@@ -71,8 +76,7 @@ def finished(stream: DataFrame) -> DataFrame:
     at = shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    if at.startswith("/"):
-        shutil.rmtree(f"{at}/state", ignore_errors=True)
+    remove(stream.sparkSession, f"{at}/state")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -104,8 +108,7 @@ def closed(log: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFr
     row = tuple(None if f.name == "log_id" else blank.get(f.dataType.simpleString(), 0) for f in schema.fields)
     spark.createDataFrame([row], schema).write.mode("append").parquet(f"{at}/closing")
     run()
-    if at.startswith("/"):
-        shutil.rmtree(f"{at}/state", ignore_errors=True)
+    remove(spark, f"{at}/state")
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 

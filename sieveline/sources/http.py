@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import text as X
+from sieveline.operators.plugins import register
 
 #: Encodings that a scanner can read. Fixed values.
 READABLE = ("identity", "gzip", "deflate", "pack200-gzip")
@@ -62,6 +63,7 @@ def cookie(headers: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
+@register("auth", "proxy-basic")
 def basic_user(headers: Column) -> Column:
     """User of basic proxy authorisation, null if there is none."""
     coded = F.regexp_extract(header(headers, "proxy-authorization"), r"(?i)^basic\s+([A-Za-z0-9+/=]+)", 1)
@@ -69,11 +71,33 @@ def basic_user(headers: Column) -> Column:
     return F.when(v != "", v)
 
 
+@register("auth", "proxy-digest")
 def digest_user(headers: Column) -> Column:
     v = F.regexp_extract(header(headers, "proxy-authorization"), r"(?i)^digest\s.*?username\s*=\s*\"([^\"]*)\"", 1)
     return F.when(v != "", v)
 
 
+@register("auth", "proxy-ntlm")
+def ntlm_user(headers: Column) -> Column:
+    """User of the last message of an NTLM exchange, null for any other; names are in the message's own encoding."""
+    coded = F.regexp_extract(header(headers, "proxy-authorization"), r"(?i)^ntlm\s+([A-Za-z0-9+/=]+)", 1)
+    h = F.hex(F.try_to_binary(F.when(coded != "", coded), F.lit("base64")))
+    byte = lambda k: F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("int")
+    number = lambda k: byte(k) + byte(k + 1) * 256
+    raw = F.try_to_binary(F.substring(h, (number(40) * 2 + 1), number(36) * 2), F.lit("hex"))
+    wide = byte(60).bitwiseAND(F.lit(1)) == 1
+    user = F.when(wide, F.try_validate_utf8(F.decode(raw, "UTF-16LE"))).otherwise(F.decode(raw, "ISO-8859-1"))
+    # signature, message of the third kind
+    return F.when(h.startswith("4E544C4D535350000300") & (user != ""), user)
+
+
+@register("auth", "ident")
+def ident_user(reply: Column) -> Column:
+    """User of a recorded ident reply `ports : USERID : system : user`, null for any other."""
+    v = F.btrim(F.regexp_extract(reply, r"^[^:]*:\s*USERID\s*:[^:]*:(.*)$", 1), F.lit(" \t\r\n"))
+    return F.when(v != "", v)
+
+
 def is_redirection(code: Column) -> Column:
     return (code >= 300) & (code < 400) & (code != 304)
 

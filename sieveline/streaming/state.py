@@ -140,6 +140,23 @@ def violation_alerts(df: DataFrame, key: str, t: str, violations: int, threshold
     return both.filter(F.col("last").isNotNull() & quick).select(key, "first", "last", v.cast("long").alias("n"))
 
 
+def violation_reports(df: DataFrame, key: str, t: str, order: list[str], line: Column, violations: int, threshold_s: int = 0) -> DataFrame:
+    """(key, first, last, report): each alert of violation_alerts with the lines of the rows that made it, in order.
+
+    A row's number is what came before its second and its place within it, so only rows of one second are ordered
+    together. A report has `violations` lines.
+    """
+    rows = df.filter(F.col(key).isNotNull()).select(key, t, *order, line.alias("__line"))
+    seconds = by_second(rows, [key], t).select(key, t, "earlier")
+    within = F.row_number().over(Window.partitionBy(key, t).orderBy(*order))
+    numbered = rows.withColumn("__k", within).join(seconds, [key, t]).withColumn("__k", F.col("__k") + F.col("earlier"))
+    runs = numbered.groupBy(key, F.floor((F.col("__k") - 1) / violations).alias("__run")).agg(
+        F.min(t).alias("first"), F.max(t).alias("last"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("__k", "__line"))).alias("__lines")
+    )
+    quick = (F.col("last") - F.col("first") <= threshold_s) if threshold_s else F.lit(True)
+    return runs.filter((F.col("n") == violations) & quick).select(key, "first", "last", F.array_join(F.transform("__lines", lambda x: x["__line"]), "\n").alias("report"))
+
+
 def token_alive(expires: Column, now: Column) -> Column:
     """A token carries its own expiry: no state is needed."""
     return F.coalesce(now <= expires, F.lit(False))
