@@ -29,4 +29,4 @@ def test_cell_names_of_the_result_are_refused(spark):
     from sieveline.llm.distinct import hash_runs
 
     with pytest.raises(ValueError):
-        hash_runs(spark.createDataFrame([(1, "a")], "shard int, v string"), ["shard"], F.col("v"))
+        hash_runs(spark.createDataFrame([(1, "a")], "range int, v string"), ["range"], F.col("v"))
