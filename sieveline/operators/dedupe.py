@@ -25,3 +25,13 @@ def once_per_id(df: DataFrame, id_col: str, order_by: list[str] | None = None) -
         .filter((F.col("__rn") == 1) | key.isNull())
         .drop("__null", "__rn")
     )
+
+
+def repeated(df: DataFrame, n: str, number: str) -> DataFrame:
+    """Each row as often as its column n says, numbered from 1; n is dropped, and rows with n below 1 don't come out.
+
+    In two steps, so that a row that is repeated very often makes no array of that length.
+    """
+    top = F.greatest(F.col(n).cast("long"), F.lit(0))
+    some = df.filter(top > 0).withColumn("__lo", F.explode(F.sequence(F.lit(1).cast("long"), top, F.lit(10_000).cast("long"))))
+    return some.withColumn(number, F.explode(F.sequence("__lo", F.least(F.col("__lo") + 9_999, top)))).drop("__lo", n)

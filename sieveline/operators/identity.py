@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import md5_upper, mini_url_encode
+from sieveline.operators.dedupe import repeated
 from sieveline.operators.match import address_keys, ip_hits, range_keys
 
 _RANK = lambda kind: F.when(kind == "ip", 0).when(kind == "subnet", 1).when(kind == "range", 2).otherwise(3)
@@ -55,18 +56,20 @@ def groups_by_user_or_address(facts: DataFrame, id_col: str, user: str, ip: Colu
     """(id, grp): the user's group (named: user column, ug), else the best of the address's, else the default.
 
     Facts are read once: each makes the keys of its user and address and one that meets nothing, all in one join
-    with both tables; what is left is partially aggregated and shuffled once.
+    with both tables; what is left is partially aggregated and shuffled once. Facts without an id come out each.
     """
     keys = F.array(F.concat(F.lit("-:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.concat(F.lit("u:"), F.col(user)))
     spread = F.transform(address_keys(F.col("__n")), lambda x: F.concat(F.lit("n:"), x))
     every = F.concat(keys, F.coalesce(spread, F.array().cast("array<string>")))
-    own = facts.select(id_col, user, ip.alias("__n")).select(id_col, "__n", F.explode_outer(every).alias("__k")).filter("__k IS NOT NULL")
+    own = facts.select(id_col, user, ip.alias("__n")).select(id_col, user, "__n", F.explode_outer(every).alias("__k")).filter("__k IS NOT NULL")
     ranges = range_keys(rules.filter("kind <> 'host' AND grp IS NOT NULL"), ["kind", "grp", "lo", "hi"])
     of_users = named.select(F.concat(F.lit("u:"), F.col(user)).alias("__k"), F.lit(-1).alias("r"), F.col("ug").alias("grp"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
     every_rule = of_users.unionByName(ranges.select(F.concat(F.lit("n:"), "key").alias("__k"), _RANK(F.col("kind")).alias("r"), "grp", "lo", "hi"))
     met = own.join(every_rule, "__k", "left").filter(F.col("__k").startswith("-:") | (F.col("r").isNotNull() & (F.col("lo").isNull() | F.col("__n").between(F.col("lo"), F.col("hi")))))
     best = F.min(F.when(F.col("r").isNotNull(), F.struct("r", "grp")))["grp"]
-    return met.groupBy(id_col).agg(F.coalesce(best, F.lit(default)).alias("grp"))
+    # facts that are equal in id, user and address are counted by the keys that meet nothing, and come out each
+    found = met.groupBy(id_col, own[user], "__n").agg(F.coalesce(best, F.lit(default)).alias("grp"), F.count(F.when(F.col("__k").startswith("-:"), 1)).alias("__times"))
+    return repeated(found.select(id_col, "grp", "__times"), "__times", "__copy").drop("__copy")
 
 
 def bypass_token(url: Column, magic: str, ip: Column, expires: Column, user: Column | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.operators.dedupe import repeated
 from sieveline.operators.sessions import sessions
 from sieveline.streaming import ordered
 
@@ -47,8 +48,8 @@ def cache_hits(df: DataFrame, keys: list[str], t: str, order: list[str], ttl_s:
     missed = missed.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, t])], *[F.col(f"__first.{c}").alias(f"__o{i}") for i, c in enumerate(order)], F.lit(True).alias("__missed"))
     same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*keys, t])] + [F.col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(order)]
     joined = rows.join(missed, reduce(lambda a, b: a & b, same), "left")
-    hits = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda k: F.col("__missed").isNull() | (k > 1))
-    return joined.select(*keys, t, *order, F.explode(hits).alias("is_hit"))
+    each = repeated(joined.select(*keys, t, *order, "__missed", "__n"), "__n", "__copy")
+    return each.select(*keys, t, *order, (F.col("__missed").isNull() | (F.col("__copy") > 1)).alias("is_hit"))
 
 
 def cache_entries(df: DataFrame, keys: list[str], t: str, ttl_s: int = 900) -> DataFrame:
@@ -132,9 +133,7 @@ def violation_alerts(df: DataFrame, key: str, t: str, violations: int, threshold
     begins = F.struct(F.ceil(F.col("earlier") / v).cast("long").alias("lo"), F.floor((F.col("earlier") + F.col("n") - 1) / v).cast("long").alias("hi"), F.lit(True).alias("opens"))
     ends = F.struct(F.floor(F.col("earlier") / v).cast("long").alias("lo"), (F.floor((F.col("earlier") + F.col("n")) / v) - 1).cast("long").alias("hi"), F.lit(False).alias("opens"))
     spans = seconds.select(key, t, F.inline(F.array(begins, ends))).filter("lo <= hi")
-    # in two steps, so that a second with very many rows makes no array of that length
-    parts = spans.select(key, t, "opens", "hi", F.explode(F.sequence("lo", "hi", F.lit(10_000).cast("long"))).alias("lo"))
-    runs = parts.select(key, t, "opens", F.explode(F.sequence("lo", F.least(F.col("lo") + 9_999, F.col("hi")))).alias("__run"))
+    runs = repeated(spans.withColumn("__n", F.col("hi") - F.col("lo") + 1), "__n", "__at").select(key, t, "opens", (F.col("lo") + F.col("__at") - 1).alias("__run"))
     both = runs.groupBy(key, "__run").agg(F.min(F.when(F.col("opens"), F.col(t))).alias("first"), F.max(F.when(~F.col("opens"), F.col(t))).alias("last"))
     quick = (F.col("last") - F.col("first") <= threshold_s) if threshold_s else F.lit(True)
     return both.filter(F.col("last").isNotNull() & quick).select(key, "first", "last", v.cast("long").alias("n"))

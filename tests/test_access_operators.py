@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import logfields as L
 from sieveline.operators.balance import balanced_aggregate, balanced_join, key_loads, load_plan, pack
-from sieveline.operators.dedupe import once_per_id
+from sieveline.operators.dedupe import once_per_id, repeated
 from sieveline.operators.packed import Packing, split_packed, tokenize
 from sieveline.operators.sessions import sessions
 
@@ -178,6 +178,12 @@ def test_once_per_id(spark):
     assert len(got) == 4 and sum("id=1," in r and "v='a'" in r for r in got) == 1
 
 
+def test_repeated(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("c", 25_001), (None, 1), ("d", None)], "k string, n long")
+    got = repeated(df, "n", "i").groupBy("k").agg(F.count(F.lit(1)), F.min("i"), F.max("i"), F.countDistinct("i")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 3, 1, 3, 3), ("c", 25_001, 1, 25_001, 25_001), (None, 1, 1, 1, 1)], key=str)
+
+
 def test_log_fields(spark):
     users = {"A\\Bob ": "bob", " -": None, "": None, None: None, "annex\\": None, "x": "x", " Z": "z"}
     ips = {"::FFFF:10.0.0.1": "10.0.0.1", " 10.0.0.1 ": "10.0.0.1", "0.0.0.0": None, "-": None, "1.2.3.256": None, "fe80::1": None, None: None}
