@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from sieveline.streaming import streams as S
 
 Q = QuerySet()
 
-#: How far a record may lie behind the newest one before it and still count. The largest test log's latest is 9.05
-#: days behind; one that comes later still is an error, never a row less.
+#: How far a record may lie behind the newest one before it and still count, where nothing else is said; one that
+#: comes later still is an error, never a row less. Queries over a log ask it for its own (limits).
 LATE = "10 days"
 
 #: Time of the row that closes a stream: later than any record by more than every limit of time, and one that pandas holds.
@@ -58,6 +59,52 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, in bounded memory, and only the versions they may resume from.
+
+    A commit writes what changed; whole states are written in the background.
+    """
+    store = "spark.sql.streaming.stateStore"
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.boundedMemoryUsage": "true",
+        f"{store}.rocksdb.maxMemoryUsageMB": "256",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.trackTotalNumberOfRows": "false",
+        "spark.sql.streaming.minBatchesToRetain": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def limits(spark: SparkSession, d: str) -> tuple[str, datetime.datetime]:
+    """How late records of the log come at most, however its files follow each other, and a time that closes all.
+
+    The stream takes files by their time of change, and files of the same time in any order. So a record lies behind
+    the newest one of all files that may come before its own. The driver gets a row for each time of change; the
+    stream's source holds one for each file as well.
+    """
+    read = table(spark, d, "access_log").select(L.epoch_seconds(F.col("when_txt")).alias("s"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
+    files = read.filter("s IS NOT NULL").groupBy("at", "path").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    times = files.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).orderBy("at").collect()
+    most, newest = 0, None
+    for r in times:
+        if r["n"] > 1:  # any of them may be the last
+            newest = r["last"] if newest is None else max(newest, r["last"])
+        if newest is not None:
+            most = max(most, newest - r["first"])
+        newest = r["last"] if newest is None else max(newest, r["last"])
+    last = datetime.datetime.fromtimestamp((newest or 0) + most, tz=datetime.timezone.utc) + datetime.timedelta(days=10)
+    return f"{most + 1} seconds", max(END, last)
+
+
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream of files; ts is the logged time."""
     df = table(spark, d, "access_log")
@@ -80,19 +127,19 @@ def finished(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def closed(log: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def closed(log: DataFrame, operator: Callable[[DataFrame], DataFrame], late: str = LATE, end: datetime.datetime = END) -> DataFrame:
     """Runs an operator over the log's records, each id once, to the end, and reads its rows.
 
-    log: log_id, ts and other columns. When the log is read, the query is resumed for one more row at END, which
+    log: log_id, ts and other columns. When the log is read, the query is resumed for one more row at end, which
     takes the watermark past all windows and times that are still open. That row itself stays behind in the state.
-    A record beyond LATE would be missing in the result, so it raises RuntimeError.
+    A record beyond late would be missing in the result, so it raises RuntimeError.
     """
     spark, at = log.sparkSession, shared_folder(log.sparkSession)
     schema = log.schema
     spark.createDataFrame([], schema).write.parquet(f"{at}/closing")
     with_end = log.unionByName(spark.readStream.schema(schema).parquet(f"{at}/closing"))
     # records without an id can't be told apart: each is one of its own
-    marked = with_end.withWatermark("ts", LATE).withColumn("__own", F.when(F.col("log_id").isNull(), F.uuid()))
+    marked = with_end.withWatermark("ts", late).withColumn("__own", F.when(F.col("log_id").isNull(), F.uuid()))
     out = operator(marked.dropDuplicatesWithinWatermark(["log_id", "__own"]).drop("__own"))
 
     def run() -> None:
@@ -100,14 +147,16 @@ def closed(log: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFr
         query.awaitTermination()
         lost = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
         if lost:
-            raise RuntimeError(f"at least {lost} records came more than {LATE} late")
+            raise RuntimeError(f"at least {lost} records came more than {late} late")
 
-    run()
+    with state_on_disk(spark):
+        run()
     # the values only have to pass filters for nulls
-    blank = {"string": "", "timestamp": END}
+    blank = {"string": "", "timestamp": end}
     row = tuple(None if f.name == "log_id" else blank.get(f.dataType.simpleString(), 0) for f in schema.fields)
     spark.createDataFrame([row], schema).write.mode("append").parquet(f"{at}/closing")
-    run()
+    with state_on_disk(spark):
+        run()
     remove(spark, f"{at}/state")
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
@@ -157,11 +206,11 @@ def t08_reloaded_rules_stream(spark, d):
 def k08_active_stream(spark, d):
     """Addresses with requests in each tick, by the stream's sketch, held against the exact number of the log.
 
-    is_near: the sketch is off by at most 15 %, three times its standard error, or by one. a08_active_ips tells the
+    is_near: the sketch is off by at most 15 %, six times its standard error, or by one. a08_active_ips tells the
     addresses of the day before each tick, exactly.
     """
     df = log_stream(spark, d).withColumn("a", L.ip_key(F.col("ip"))).filter("a IS NOT NULL")
-    ticks = closed(df.select("log_id", "a", "ts"), lambda s: S.active_clients(s, "a", "ts", late=None)).select(F.unix_timestamp("start").alias("start_s"), F.col("n").alias("about"))
+    ticks = closed(df.select("log_id", "a", "ts"), lambda s: S.active_clients(s, "a", "ts", late=None), *limits(spark, d)).select(F.unix_timestamp("start").alias("start_s"), F.col("n").alias("about"))
     log = log_once(spark, d, L.ip_key(F.col("ip")).alias("a"), L.epoch_seconds(F.col("when_txt")).alias("s")).filter("a IS NOT NULL AND s IS NOT NULL")
     exact = log.groupBy((F.floor(F.col("s") / 180) * 180).cast("long").alias("start_s")).agg(F.countDistinct("a").alias("n"))
     near = F.abs(F.col("about") - F.col("n")) <= F.greatest(F.lit(1.0), 0.15 * F.col("n"))
