@@ -222,5 +222,5 @@ def t_sessions_stream(spark, d):
     """Sessions of p5_sessions, as a stream: of users, or of addresses where no user is known."""
     actor = F.coalesce(F.concat(F.lit("user:"), L.user_key(F.col("user_name"))), F.concat(F.lit("ip:"), L.ip_key(F.col("ip"))))
     df = log_stream(spark, d).withColumn("actor", actor).filter("actor IS NOT NULL")
-    out = closed(df.select("log_id", "actor", "ts"), lambda s: S.sessions(s, F.col("actor"), "ts", late=None))
+    out = closed(df.select("log_id", "actor", "ts"), lambda s: S.sessions(s, F.col("actor"), "ts", late=None), *limits(spark, d))
     return out.select("actor", F.unix_timestamp("start").alias("start_s"), (F.unix_timestamp("end") - 1800).alias("end_s"), F.col("n").alias("n_events"))

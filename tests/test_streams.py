@@ -34,7 +34,10 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def late(tmp_path_factory):
-    """The smallest log in one batch, and its records once more, 40 days older under other ids, in the batch after it."""
+    """The smallest log in two batches, and its records once more, 40 days older under other ids, in a third one.
+
+    A batch's late rows are told by the watermark of the batch before the last.
+    """
     d = tmp_path_factory.mktemp("late")
     for f in os.listdir(SF):
         if f != "access_log.parquet":
@@ -42,8 +45,8 @@ def late(tmp_path_factory):
     t = pq.read_table(f"{SF}/access_log.parquet")
     old = duckdb.sql(f"SELECT * REPLACE (log_id + 1000000 AS log_id, CAST({access._WHEN} - 40 * 86400 AS VARCHAR) AS when_txt) FROM t").to_arrow_table().cast(t.schema)
     os.makedirs(d / "access_log.parquet")
-    n = -(-t.num_rows // 16)
-    for k, part in enumerate([*(t.slice(k * n, n) for k in range(16)), old]):
+    n = -(-t.num_rows // 32)
+    for k, part in enumerate([*(t.slice(k * n, n) for k in range(32)), old]):
         path = d / "access_log.parquet" / f"part-{k:05}.parquet"
         pq.write_table(part, path)
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
@@ -99,6 +102,11 @@ def test_active_clients_of_many_ticks_are_near(spark, tmp_path):
     assert got.filter(F.abs(F.col("n") - 150) > 0.15 * 150).count() == 0 and got.count() == 3000
 
 
+def test_sessions_of_records_that_come_weeks_late(spark, late):
+    want = rows(access.p5_sessions(spark, late).select("actor", "start_s", "end_s", "n_events"))
+    assert len(want) == 2 * access.p5_sessions(spark, SF).count() and rows(P.t_sessions_stream(spark, late)) == want
+
+
 def test_records_without_id_are_kept_and_too_late_ones_raise(spark, tmp_path):
     def log(name, batches):
         at = tmp_path / name
