@@ -172,7 +172,7 @@ def t01_clean_cache_stream(spark, d):
 def t01_cache_entries_stream(spark, d):
     """Entries of t01_cache_entries, as a stream."""
     df = log_stream(spark, d).withColumn("url", L.raw_value(F.col("url"))).filter("url IS NOT NULL AND filter_group IS NOT NULL AND NOT is_naughty")
-    return closed(df.select("log_id", "url", "filter_group", "ts"), lambda s: S.cache_entries(s, "url", "filter_group", "ts"))
+    return closed(df.select("log_id", "url", "filter_group", "ts"), lambda s: S.cache_entries(s, "url", "filter_group", "ts"), *limits(spark, d))
 
 
 @Q.add("t05_deliver_once_stream", "SELECT DISTINCT log_id FROM access_log WHERE regexp_matches(coalesce(when_txt, ''), '[0-9]')")

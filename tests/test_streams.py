@@ -94,6 +94,11 @@ def test_active_clients_of_records_that_come_weeks_late(spark, late):
     assert len(got) == 2 * today and all(r["is_near"] for r in got)
 
 
+def test_cache_entries_of_records_that_come_weeks_late(spark, late):
+    want = rows(logs.t01_cache_entries(spark, late).select("url", F.col("filter_group").cast("long"), "put_s", "last_s", "n_hits"))
+    assert len(want) == 2 * logs.t01_cache_entries(spark, SF).count() and rows(P.t01_cache_entries_stream(spark, late)) == want
+
+
 def test_active_clients_of_many_ticks_are_near(spark, tmp_path):
     """Of 3,000 ticks of 150 clients none is off by more than 15 %."""
     at = str(tmp_path / "many")
