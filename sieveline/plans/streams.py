@@ -184,7 +184,7 @@ def t05_deliver_once_stream(spark, d):
 def t07_violations_stream(spark, d):
     """Alerts of a09_violations, as a stream."""
     df = log_stream(spark, d).filter("is_naughty").withColumn("u", L.user_key(F.col("user_name"))).filter("u IS NOT NULL")
-    return closed(df.select("log_id", "u", "ts"), lambda s: S.violation_alerts(s, "u", "ts", 3, 86_400))
+    return closed(df.select("log_id", "u", "ts"), lambda s: S.violation_alerts(s, "u", "ts", 3, 86_400), *limits(spark, d))
 
 
 @Q.add("t08_reloaded_rules_stream", """SELECT DISTINCT log_id FROM (SELECT log_id, regexp_replace(regexp_extract(lower(trim(url)), '//(?:[^/?#]*@)?([^/?#:]*)', 1), '\\.$', '') AS h FROM access_log WHERE regexp_matches(coalesce(when_txt, ''), '[0-9]'))

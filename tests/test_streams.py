@@ -99,6 +99,11 @@ def test_cache_entries_of_records_that_come_weeks_late(spark, late):
     assert len(want) == 2 * logs.t01_cache_entries(spark, SF).count() and rows(P.t01_cache_entries_stream(spark, late)) == want
 
 
+def test_violations_of_records_that_come_weeks_late(spark, late):
+    want = rows(logs.a09_violations(spark, late).select("u", "first", "last", "n"))
+    assert want and rows(P.t07_violations_stream(spark, late)) == want
+
+
 def test_active_clients_of_many_ticks_are_near(spark, tmp_path):
     """Of 3,000 ticks of 150 clients none is off by more than 15 %."""
     at = str(tmp_path / "many")
