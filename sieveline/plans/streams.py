@@ -204,9 +204,9 @@ def t08_reloaded_rules_stream(spark, d):
 
 @Q.add("k08_active_stream", f"SELECT s // 180 * 180 AS start_s, CAST(count(DISTINCT a) AS BIGINT) AS n, true AS is_near FROM (SELECT {_IP} AS a, {_WHEN} AS s FROM {_ONCE}) WHERE a IS NOT NULL AND s IS NOT NULL GROUP BY 1")
 def k08_active_stream(spark, d):
-    """Addresses with requests in each tick, by the stream's sketch, held against the exact number of the log.
+    """Addresses with requests in each tick, by the stream, held against the number of the log.
 
-    is_near: the sketch is off by at most 15 %, six times its standard error, or by one. a08_active_ips tells the
+    is_near: the two differ by at most 15 % or by one; both are exact. a08_active_ips tells the
     addresses of the day before each tick, exactly.
     """
     df = log_stream(spark, d).withColumn("a", L.ip_key(F.col("ip"))).filter("a IS NOT NULL")

@@ -96,13 +96,14 @@ def violation_alerts(stream: DataFrame, key: str, t: str, violations: int, thres
 
 
 def active_clients(stream: DataFrame, client: str, t: str, late: str | None = "1 day", every: str = "180 seconds") -> DataFrame:
-    """(start, n): different clients of each tick, late rows counted up to the watermark; a sketch keeps the state small.
+    """(start, n): different clients of each tick, late rows counted up to the watermark.
 
-    The sketch has 2,048 cells, so its standard error is 2.4 %.
+    State: a row for each tick and client, and the number of each tick, until the watermark has passed the tick.
     late: None where the stream has a watermark on t of its own.
     """
     marked = stream.withWatermark(t, late) if late else stream
-    return marked.groupBy(F.window(t, every)).agg(F.approx_count_distinct(client, 0.03).alias("n")).select(F.col("window.start").alias("start"), "n")
+    pairs = marked.filter(F.col(client).isNotNull()).select(F.window(t, every).alias("window"), F.col(client).alias("client")).dropDuplicates(["window", "client"])
+    return pairs.groupBy("window").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(stream: DataFrame, actor: Column, t: str, gap: str = "1800 seconds", late: str | None = "3 days") -> DataFrame:
